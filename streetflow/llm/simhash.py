@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from streetflow.llm import scratch
 from streetflow.llm.components import connected_components
@@ -53,7 +54,7 @@ def fingerprint(data: bytes | None, width: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fingerprint_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(x) for x in texts], dtype="int64")
 
