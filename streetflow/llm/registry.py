@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from streetflow.llm import simhash
+from streetflow.llm import langid, licenses, png, simhash
 
 
 def queries() -> dict:
-    return {"op1_simhash_near_dedup": simhash.query}
+    return {
+        "op1_simhash_near_dedup": simhash.query,
+        "op2_license_scan": licenses.query,
+        "op8_language_id": langid.query,
+        "op9_png_media": png.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
