@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from streetflow.llm import langid, licenses, png, simhash
+from streetflow.llm import langid, licenses, png, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.query,
         "op2_license_scan": licenses.query,
+        "op6_warc_salvage": warc.query,
         "op8_language_id": langid.query,
         "op9_png_media": png.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc_salvage": warc.ORACLE}
