@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from streetflow.llm import langid, licenses, png, simhash, warc
+from streetflow.llm import decontaminate, html, langid, licenses, linededup, png, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.query,
         "op2_license_scan": licenses.query,
+        "op4_html_text": html.query,
+        "op5_line_dedup": linededup.query,
         "op6_warc_salvage": warc.query,
+        "op7_decontaminate": decontaminate.query,
         "op8_language_id": langid.query,
         "op9_png_media": png.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_salvage": warc.ORACLE}
+    return {"op6_warc_salvage": warc.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
