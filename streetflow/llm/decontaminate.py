@@ -20,6 +20,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from streetflow.llm.names import prefix
+
 # The masks.
 MASKS = ("1111111", "110110111", "10110011011")
 REGION, MIN_MATCH, BLOCK_WORDS, PIECE = 12, 10, 200_000, 2_000
@@ -117,8 +119,9 @@ def find_leaks(
 
 def apply(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that leak. A row without id goes if any row without id leaks."""
-    bad = find_leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    bad = prefix(docs) + "bad"
+    found = find_leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col(bad)), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from streetflow.llm import scratch
+from streetflow.llm.names import prefix
 
 MIN_WORDS = 50
 WINDOWS = "doc_id long, text_hash long, fp long, win binary, first int, last int"
@@ -112,40 +113,39 @@ def cut_udf(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with __cut: the text without later repeats, null where nothing goes."""
+def _cut(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: the text without later repeats, null where nothing goes."""
+    p = prefix(docs)
     runs = repeated_runs(docs, id_col, text_col).distinct()
-    by_doc = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("__runs"))
-    by_doc = by_doc.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__runs")
-    keyed = docs.join(
-        by_doc, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left"
-    ).drop("__id", "__hash")
-    old = F.when(F.col("__runs").isNotNull(), F.col(text_col))
+    by_doc = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    by_doc = by_doc.select(*(F.col(c).alias(p + c) for c in by_doc.columns))
+    same = F.col(id_col).eqNullSafe(F.col(f"{p}doc_id")) & (F.xxhash64(text_col) == F.col(f"{p}text_hash"))
+    keyed = docs.join(by_doc, same, "left")
+    old = F.when(F.col(f"{p}runs").isNotNull(), F.col(text_col))
     empty = F.array().cast("array<int>")
-    return keyed.withColumn(
-        "__cut",
-        cut_udf(old, F.coalesce("__runs.first", empty), F.coalesce("__runs.last", empty)),
-    ).drop("__runs")
+    bounds = [F.coalesce(F.col(f"{p}runs.{c}"), empty) for c in ("first", "last")]
+    return keyed.select(*docs.columns, cut_udf(old, *bounds).alias(f"{p}cut")), f"{p}cut"
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the texts cut; columns as before, n_chars (if there) counted anew. Documents cut to nothing go."""
-    cut = _cut(docs, id_col, text_col)
-    done = cut.where(F.col("__cut").isNull() | F.col("__cut").rlike(r"[^\x20\x09-\x0D]"))
+    cut, new = _cut(docs, id_col, text_col)
+    done = cut.where(F.col(new).isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        new = F.when(F.col("__cut").isNotNull(), F.char_length("__cut").cast(docs.schema["n_chars"].dataType))
-        done = done.withColumn("n_chars", F.coalesce(new, F.col("n_chars")))
-    return done.withColumn(text_col, F.coalesce("__cut", text_col)).select(docs.columns)
+        counted = F.when(F.col(new).isNotNull(), F.char_length(new).cast(docs.schema["n_chars"].dataType))
+        done = done.withColumn("n_chars", F.coalesce(counted, F.col("n_chars")))
+    return done.withColumn(text_col, F.coalesce(new, text_col)).select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op5: every document with its text after deletion, and how many lines went."""
+    """op5: every document with its text after deletion, the line breaks it had and the characters that went."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    cut = _cut(docs, "doc_id", "text")
-    breaks = lambda c: F.coalesce(F.length(c) - F.length(F.replace(c, F.lit("\n"))), F.lit(0)).cast("long")
+    cut, new = _cut(docs, "doc_id", "text")
+    breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    gone = F.when(F.col(new).isNull(), F.lit(0)).otherwise(F.length("text") - F.length(new))
     return cut.select(
         "doc_id",
-        breaks(F.col("text")).alias("n_breaks"),
-        F.when(F.col("__cut").isNull(), F.lit(0)).otherwise(F.length("text") - F.length("__cut")).cast("long").alias("n_cut_chars"),
-        F.coalesce("__cut", "text").alias("text"),
+        F.coalesce(breaks, F.lit(0)).cast("long").alias("n_breaks"),
+        gone.cast("long").alias("n_cut_chars"),
+        F.coalesce(new, "text").alias("text"),
     )

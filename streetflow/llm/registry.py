@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from streetflow.llm import decontaminate, html, langid, licenses, linededup, png, simhash, warc
+import corpus_pipeline
+from streetflow.llm import decontaminate, html, langid, licenses, linededup, mixing, png, simhash, warc
 
 
 def queries() -> dict:
@@ -15,8 +16,10 @@ def queries() -> dict:
         "op7_decontaminate": decontaminate.query,
         "op8_language_id": langid.query,
         "op9_png_media": png.query,
+        "op10_mix_sources": mixing.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_salvage": warc.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+    return {"op6_warc_salvage": warc.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_mix_sources": mixing.ORACLE}

@@ -25,11 +25,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType
 
 from streetflow.llm import scratch
 from streetflow.llm.components import connected_components
+from streetflow.llm.names import prefix
 
 SHINGLE_WORDS, SEED, MAX_BITS, MIN_SHARED = 3, 42, 3, 5
 LIST_LIMIT = 16
@@ -229,20 +230,46 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     return first.where("hot < 0").select("a", "b").union(more)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp (signed), component_id (the smallest id that links reach, its own included)."""
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of every row, and (fp, root) for the fingerprints that link to others."""
     fps = scratch.stage(
-        docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text_col).cast("binary")).alias("fp")), "fps"
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.xxhash64(text_col).alias("text_hash"),
+            fingerprint_udf(F.col(text_col).cast("binary")).alias("fp"),
+        ),
+        "fps",
     )
+    roots = connected_components(links(fps.select("fp").distinct()), "a", "b")
+    return fps, roots.withColumnRenamed("node", "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fp (signed), component_id (the smallest id that links reach, its own included)."""
+    fps, roots = _classes(docs, id_col, text_col)
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = connected_components(links(distinct.select("fp")), "a", "b")
-    grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
+    grouped = distinct.join(roots, "fp")
     lows = grouped.groupBy("root").agg(F.min("low").alias("component"))
     named = scratch.stage(grouped.join(lows, "root").select("fp", "component"), "classes")
     of = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id"))
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest id that is not null, then of the smallest text hash."""
+    fps, roots = _classes(docs, id_col, text_col)
+    p = prefix(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    # By fingerprint first, so that a group of a million copies joins as one row.
+    by_fp = fps.groupBy("fp").agg(first).join(roots, "fp", "left")
+    kept = by_fp.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = scratch.stage(kept.select(F.col("first.doc_id").alias(f"{p}id"), F.col("first.text_hash").alias(f"{p}hash")), "kept")
+    same = F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(text_col) == F.col(f"{p}hash"))
+    rows = docs.join(kept, same)
+    again = W.partitionBy(f"{p}id", f"{p}hash").orderBy(F.lit(1))
+    return rows.withColumn(f"{p}n", F.row_number().over(again)).where(f"{p}n = 1").select(docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: fingerprint as 16 hex digits and component of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

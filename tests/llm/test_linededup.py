@@ -44,8 +44,8 @@ def test_matches_brute_force(spark):
     for _ in range(2):
         docs = random_docs(r)
         df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-        rows = linededup._cut(df, "doc_id", "text").collect()
-        got = {x.doc_id: x.text if x["__cut"] is None else x["__cut"] for x in rows}
+        cut, new = linededup._cut(df, "doc_id", "text")
+        got = {x.doc_id: x.text if x[new] is None else x[new] for x in cut.collect()}
         assert got == plain(docs, linededup.MIN_WORDS)
         assert got != docs
 
@@ -54,7 +54,7 @@ def test_edge_rows(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, long, "en", "s", 5), (1, long, "en", "s", 5), (2, "own line\n" + long, "en", "s", 5), (3, None, "en", "s", None),
             (4, "", "en", "s", 0), (5, long, "en", "s", 5), (None, "tiny", None, None, 4), (6, (long + "\n") * 20_000, "en", "s", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, win string, n_chars long")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, __runs string, n_chars long")
     got = sorted(map(tuple, linededup.apply(df).collect()), key=str)
     assert [x for x in got if x[0] == 1] == [rows[0], rows[1]]
     assert [x for x in got if x[0] == 2] == [(2, "own line", "en", "s", 8)]
