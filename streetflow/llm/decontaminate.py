@@ -44,12 +44,25 @@ def _hash(array: str, at: Column, size: Column, number: int) -> Column:
     return F.when(at + len(mask) <= size, F.xxhash64(F.lit(number), *picked))
 
 
-def _seeded(df: DataFrame, array: str) -> DataFrame:
-    """A row per place and mask that fits: at, hash."""
+#: The places that all masks set.
+COMMON = sorted(set.intersection(*(set(_places(m)) for m in MASKS)))
+
+
+def _common(array: str) -> Column:
+    return F.xxhash64(*(F.get(F.col(array), F.col("at") + o) for o in COMMON)).alias("common")
+
+
+def _placed(df: DataFrame, array: str) -> DataFrame:
+    """A row per place, with the hash of the words that all masks look at."""
     size = F.size(array)
     # No filter on the size: it would be pushed below the split and have every text split twice.
     last = F.greatest(size - min(map(len, MASKS)), F.lit(0))
-    placed = df.select("*", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    return df.select("*", F.explode(F.sequence(F.lit(0), last)).alias("at")).select("*", _common(array))
+
+
+def _seeded(placed: DataFrame, array: str) -> DataFrame:
+    """A row per place and mask that fits: at, hash."""
+    size = F.size(array)
     hashes = F.array(*(_hash(array, F.col("at"), size, k) for k in range(len(MASKS))))
     return placed.select("*", F.explode(hashes).alias("hash")).where(F.col("hash").isNotNull())
 
@@ -72,7 +85,8 @@ def _blocks(pieces: DataFrame) -> DataFrame:
 
 
 def _hits(texts: DataFrame, pieces: DataFrame) -> DataFrame:
-    seeds = _seeded(pieces, "item").select(
+    places = _placed(pieces, "item")
+    seeds = _seeded(places, "item").select(
         "hash",
         "item_id",
         F.col("at").alias("seed_at"),
@@ -82,7 +96,9 @@ def _hits(texts: DataFrame, pieces: DataFrame) -> DataFrame:
     seeds = seeds.select(
         "hash", "item_id", (F.col("seed_at") - F.col("from")).alias("back"), F.slice("item", F.col("from") + 1, REGION).alias("region")
     ).distinct()
-    found = _seeded(texts, "words").join(F.broadcast(seeds), "hash")
+    # A third of a mask's words decides for most places of a text that no mask can match there.
+    maybe = _placed(texts, "words").join(F.broadcast(places.select("common").distinct()), "common", "left_semi")
+    found = _seeded(maybe, "words").join(F.broadcast(seeds), "hash")
     # Written out per word: a lambda would end code generation, and the rows before the join would be built one by one.
     start = F.col("at") - F.col("back")
     agree = [F.coalesce((F.get("words", start + k) == F.get("region", F.lit(k))).cast("int"), F.lit(0)) for k in range(REGION)]

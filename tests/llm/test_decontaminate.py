@@ -9,23 +9,25 @@ def split(t):
 
 
 def plain(docs, items):
-    """Every place of every text against every place of every item."""
-    out = {}
+    """Every place of every text against all places of all items, by a table of the masked words."""
+    out, table, split_items = {}, {}, {k: split(t) for k, t in items}
+    for n, m in enumerate(dec.MASKS):
+        on = [x for x, c in enumerate(m) if c == "1"]
+        for k, i in split_items.items():
+            for q in range(len(i) - len(m) + 1):
+                table.setdefault((n, *(i[q + x] for x in on)), []).append((k, q))
     for d, t in docs:
         w = split(t)
-        for k, it in items:
-            i = split(it)
-            for m in dec.MASKS:
-                on = [x for x, c in enumerate(m) if c == "1"]
-                for q in range(len(i) - len(m) + 1):
-                    for p in range(len(w) - len(m) + 1):
-                        if any(w[p + x] != i[q + x] for x in on):
-                            continue
-                        f = max(0, min(q, len(i) - dec.REGION))
-                        n = min(dec.REGION, len(i))
-                        same = sum(0 <= p - q + f + x < len(w) and w[p - q + f + x] == i[f + x] for x in range(n))
-                        if same >= (dec.MIN_MATCH if n == dec.REGION else -(-n * 4 // 5)):
-                            out[d, k] = max(out.get((d, k), 0), same)
+        for n, m in enumerate(dec.MASKS):
+            on = [x for x, c in enumerate(m) if c == "1"]
+            for p in range(len(w) - len(m) + 1):
+                for k, q in table.get((n, *(w[p + x] for x in on)), ()):
+                    i = split_items[k]
+                    f = max(0, min(q, len(i) - dec.REGION))
+                    size = min(dec.REGION, len(i))
+                    same = sum(0 <= p - q + f + x < len(w) and w[p - q + f + x] == i[f + x] for x in range(size))
+                    if same >= (dec.MIN_MATCH if size == dec.REGION else -(-size * 4 // 5)):
+                        out[d, k] = max(out.get((d, k), 0), same)
     return out
 
 
