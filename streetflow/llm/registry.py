@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from streetflow.llm import decontaminate, html, langid, licenses, linededup, mixing, png, simhash, warc
+from streetflow.llm import decontaminate, html, langid, licenses, linededup, lm, mixing, png, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.query,
         "op2_license_scan": licenses.query,
+        "op3_lm_scoring": lm.query,
         "op4_html_text": html.query,
         "op5_line_dedup": linededup.query,
         "op6_warc_salvage": warc.query,
