@@ -30,7 +30,7 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, key: str, lat: str = "lat
     if not e.k:
         return none
     inside = F.col(lat).between(e.s, e.n) & F.col(lon).between(e.w, e.e)
-    out = none.where(False).unionByName(points.where(~F.coalesce(inside, F.lit(False))).select(none.columns[0],
+    out = none.where(F.lit(False)).unionByName(points.where(~F.coalesce(inside, F.lit(False))).select(none.columns[0],
         F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("d2")))
     open_points = points.where(inside).select(key, F.col(lat).alias("plat"), F.col(lon).alias("plon"))
     span = max((e.n - e.s) * geo.LAT_METRES, (e.e - e.w) * geo.LON_METRES, 1.0)
