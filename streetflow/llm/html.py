@@ -37,18 +37,20 @@ RAW = frozenset("script style noscript template textarea title svg iframe object
 SKIP = {"nav": "menu", "menu": "menu", "footer": "footer", "aside": "sidebar", "form": "form", "head": "head", "button": "form",
         "dialog": "notice"}
 MAIN = frozenset(["article", "main"])
+MARKABLE = frozenset("div section header ul ol li p span table figure details h2 h3 h4 h5 h6 dl body".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words of class, id and role that mark boilerplate.
 MARKS = [
-    ("advert", "ad ads adv advert adverts advertisement adsense banner promo sponsor sponsored"),
+    ("advert", "ad ads adv advert adverts advertisement advertising adsense banner promo promoted sponsor sponsored"),
     ("menu", "nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager"),
-    ("header", "header masthead topbar site-header"),
-    ("footer", "footer copyright colophon"),
-    ("sidebar", "sidebar aside related recommended widget share social"),
-    ("notice", "cookie cookies consent gdpr notice popup modal newsletter subscribe alert"),
+    ("header", "header masthead topbar"),
+    ("footer", "footer copyright colophon contentinfo"),
+    ("sidebar", "sidebar aside related recommended widget share sharing social complementary"),
+    ("notice", "cookie cookies consent gdpr notice notices disclaimer popup modal newsletter subscribe alert"),
     ("comments", "comment comments respond replies disqus"),
     ("form", "form search login signup"),
 ]
+NEGATED = frozenset(["has", "no", "not", "with", "without", "is"])
 MARK_OF = {w: kind for kind, words in MARKS for w in words.split()}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
@@ -63,12 +65,17 @@ def _mark(name: str, attrs: str, in_main: bool) -> str | None:
         return SKIP[name]
     if name == "header":
         return None if in_main else "header"
-    if attrs and name not in ("html", "body", "article", "main"):
+    if attrs and name not in ("html", "body", "main"):
         for m in NAMED.finditer(attrs):
-            for w in re.split(r"[\s_]+", next(x for x in m.groups() if x is not None).lower()):
-                kind = MARK_OF.get(w) or MARK_OF.get(w.split("-")[0])
-                if kind:
-                    return kind
+            for word in next(x for x in m.groups() if x is not None).lower().split():
+                parts = re.split("[-_]+", word)
+                # A wrapper that says what it has or lacks is not the thing itself.
+                if parts[0] in NEGATED:
+                    continue
+                kind = next((MARK_OF[x] for x in parts if x in MARK_OF), None)
+                if kind is None or (kind == "header" and in_main) or (name == "article" and kind not in ("comments", "advert")):
+                    continue
+                return kind
     return None
 
 
@@ -118,23 +125,23 @@ def lines_of(page: str | None) -> list[tuple[str, str | None, bool, bool]]:
                         break
                 kind, main = (stack[-1][1], stack[-1][2]) if stack else (None, False)
             continue
+        if name in BLOCKS and name != "br" and stack and stack[-1][0] == "p":
+            # Paragraphs are often left open; the next block closes the last.
+            while stack and stack[-1][0] == "p":
+                stack.pop()
+            kind, main = (stack[-1][1], stack[-1][2]) if stack else (None, False)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page) if name in ("script", "style") else at
             continue
         if name == "a":
             anchors += 1
-        elif name not in VOID and (name in MAIN or name in SKIP or name in ("div", "section", "header", "ul", "ol", "p", "span", "table", "body")):
+        elif name not in VOID and (name in MAIN or name in SKIP or name in MARKABLE):
             found = _mark(name, m[3], main)
-            if found and kind is None:
+            if found and kind is None and name != "p":
                 if closes is None:
                     closes = set(x.lower() for x in re.findall(r"</([a-zA-Z][^\s>]*)", page))
                 found = found if name in closes else None
-            if name == "p":
-                # Paragraphs are often left open; the next one closes the last.
-                while stack and stack[-1][0] == "p":
-                    stack.pop()
-                kind, main = (stack[-1][1], stack[-1][2]) if stack else (None, False)
             if name != "span" or found:
                 flush()
                 kind, main = kind or found, main or name in MAIN

@@ -54,3 +54,10 @@ def test_markup():
     assert html.main_text(html.lines_of("<div class=ad>never closed <p>text"), None) == "never closed\ntext"
     assert html.main_text(html.lines_of("x" * 2_000_000 + "<"), None).startswith("xxx")
     assert html.lines_of("<!-- open") == [] and html.lines_of("<p") == []
+
+
+def test_marks():
+    text = lambda page: html.main_text(html.lines_of(page), None)
+    assert text('<div class="layout has-sidebar"><div class="main-menu">m</div><p>keep</p><div id="user_comments">c</div></div>') == "keep"
+    assert text('<article><div class="post-header"><h1>T</h1></div><p>x</p><article class="comment"><p>c</p></article></article>') == "T\nx"
+    assert text('<div class="page-header">site</div><div role="contentinfo">f</div><p>x<p class="ad">buy<p>y') == "x\ny"
