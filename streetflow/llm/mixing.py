@@ -108,28 +108,33 @@ def mix(
         F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(text)).alias(f"{p}tag"),
     )
     leaf = [f"{p}{x}" for x in LEVELS]
-    # Both tables have a row per leaf; written, they keep the texts from being counted again at each level.
-    leaves = rows.groupBy(*(F.col(f"{p}{x}").alias(x) for x in LEVELS)).agg(F.sum(f"{p}words").alias("words"))
-    leaves = scratch.stage(leaves, "leaves")
-    granted = budgets(leaves, percent, epochs, weights).where("words > 0")
+    # Written once without the texts: all sums come from these rows, so the words are counted here and once below.
+    narrow = scratch.stage(rows.select(*(f"{p}{x}" for x in (*LEVELS, "words", "tag"))), "narrow")
+    leaves = narrow.groupBy(*(F.col(f"{p}{x}").alias(x) for x in LEVELS)).agg(F.sum(f"{p}words").alias("words"))
+    granted = budgets(scratch.stage(leaves, "leaves"), percent, epochs, weights).where("words > 0")
     granted = granted.select(
         *(F.col(x).alias(f"{p}{x}") for x in LEVELS),
         F.expr("grant div words").alias(f"{p}whole"),
         F.expr("grant % words").alias(f"{p}rest"),
     ).where(f"{p}whole > 0 or {p}rest > 0")
     granted = scratch.stage(granted, "granted")
-    # The epoch that is filled in part differs by leaf, so the order is known once the leaf's grant is.
-    placed = rows.where(f"{p}words > 0").join(granted, leaf)
-    tag = F.concat(F.lit(f"{seed}:"), F.col(f"{p}whole") + 1, F.lit(":"), F.col(f"{p}tag"))
-    placed = placed.withColumn(f"{p}place", F.md5(tag)).drop(f"{p}tag").withColumn(f"{p}bucket", F.substring(f"{p}place", 1, 3))
+
+    def place(df: DataFrame) -> DataFrame:
+        """The order of the epoch that is filled in part; it differs by leaf, so the grant comes first."""
+        tag = F.concat(F.lit(f"{seed}:"), F.col(f"{p}whole") + 1, F.lit(":"), F.col(f"{p}tag"))
+        placed = df.join(granted, leaf).withColumn(f"{p}place", F.md5(tag)).drop(f"{p}tag")
+        return placed.withColumn(f"{p}bucket", F.substring(f"{p}place", 1, 3))
+
     piece = [*leaf, f"{p}bucket"]
-    sums = placed.groupBy(*piece).agg(F.sum(f"{p}words").alias(f"{p}in"))
+    sums = place(narrow).groupBy(*piece).agg(F.sum(f"{p}words").alias(f"{p}in"))
     run = W.partitionBy(*leaf).orderBy(f"{p}bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn(f"{p}before", F.coalesce(F.sum(f"{p}in").over(run), F.lit(0))).drop(f"{p}in")
     within = W.partitionBy(*piece).orderBy(f"{p}place").rowsBetween(W.unboundedPreceding, 0)
-    placed = placed.withColumn(f"{p}upto", F.sum(f"{p}words").over(within)).join(sums, piece)
+    placed = place(rows).withColumn(f"{p}upto", F.sum(f"{p}words").over(within)).join(sums, piece)
     times = F.col(f"{p}whole") + (F.col(f"{p}before") + F.col(f"{p}upto") <= F.col(f"{p}rest")).cast("int")
-    return placed.withColumn(f"{p}epochs", times.cast("long")).where(f"{p}epochs > 0").select(
+    return placed.withColumn(f"{p}epochs", times.cast("long")).where(
+        f"{p}epochs > 0 and {p}words > 0"
+    ).select(
         *(c for c in docs.columns if c.lower() not in ("domain", "n_words", "epochs")),
         F.col(f"{p}domain").alias("domain"),
         F.col(f"{p}words").alias("n_words"),
