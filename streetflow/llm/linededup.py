@@ -149,3 +149,32 @@ def query(spark, sf_dir: str) -> DataFrame:
         gone.cast("long").alias("n_cut_chars"),
         F.coalesce(new, "text").alias("text"),
     )
+
+
+ORACLE = rf"""
+with l as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents
+), c as (
+  select *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as body,
+         len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n from l
+), a as (
+  select doc_id, i, body, n, row_number() over w as r, sum(n) over w as t from c where n > 0 window w as (partition by doc_id order by i)
+), p as (
+  select s.doc_id, s.i as f, e.i as z, s.r as fr, e.r as zr from a s join a e on s.doc_id = e.doc_id and s.r <= e.r
+  and e.t - s.t + s.n >= {MIN_WORDS} and (e.t - s.t + s.n - e.n < {MIN_WORDS} or e.t - s.t < {MIN_WORDS})
+), q as (
+  select p.doc_id, f, z, string_agg(body, chr(10) order by r) as content
+  from p join a on a.doc_id = p.doc_id and r between fr and zr group by p.doc_id, f, z
+), h as (
+  select *, first_value(doc_id) over w as hd, first_value(z) over w as hz from q window w as (partition by content order by doc_id, f, z)
+), gone as (
+  select distinct h.doc_id, c.i from h join c on c.doc_id = h.doc_id and c.i between f and z where h.doc_id <> hd or f > hz
+), kept as (
+  select c.doc_id, coalesce(string_agg(line, chr(10) order by c.i) filter (gone.i is null), '') as text, count(gone.i) as lost
+  from c left join gone on gone.doc_id = c.doc_id and gone.i = c.i group by c.doc_id
+)
+select d.doc_id, coalesce(length(d.text) - length(replace(d.text, chr(10), '')), 0) as n_breaks,
+       case when coalesce(lost, 0) > 0 then length(d.text) - length(k.text) else 0 end as n_cut_chars,
+       case when lost > 0 then k.text else d.text end as text
+from documents d left join kept k on k.doc_id = d.doc_id
+"""

@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_salvage": warc.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_mix_sources": mixing.ORACLE}
+    return {"op6_warc_salvage": warc.ORACLE, "op5_line_dedup": linededup.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_mix_sources": mixing.ORACLE}
