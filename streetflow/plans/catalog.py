@@ -549,12 +549,12 @@ def _(fx):
 @query(
     "zscore_links",
     """with x as (select begin_node_id, end_node_id, slice, travel_time as t, avg(travel_time) over w as m, stddev_pop(travel_time) over w as s
- from snapshots window w as (partition by begin_node_id, end_node_id)) select begin_node_id, end_node_id, slice, round((t - m) / nullif(s, 0), 4) as z from x where s > 1e-9""",
+ from snapshots window w as (partition by begin_node_id, end_node_id)) select begin_node_id, end_node_id, slice, round((t - m) / nullif(s, 0), 4) + 0e0 as z from x where s > 1e-9""",
 )
 def _(fx):
     w = W.partitionBy(*PAIR)
     x = fx["snapshots"].withColumns({"m": F.avg("travel_time").over(w), "s": F.stddev_pop("travel_time").over(w)})
-    return x.where("s > 1e-9").select(*PAIR, "slice", F.round((F.col("travel_time") - F.col("m")) / F.col("s"), 4).alias("z"))
+    return x.where("s > 1e-9").select(*PAIR, "slice", (F.round((F.col("travel_time") - F.col("m")) / F.col("s"), 4) + F.lit(0.0)).alias("z"))
 
 
 @query("zscore_long", "with a as (select slice, row_number() over (partition by slice order by begin_node_id, end_node_id) - 1 as pos, num_trips as z from snapshots), l as (select begin_node_id, end_node_id, row_number() over (order by begin_node_id, end_node_id) - 1 as pos from road_links_raw) select slice, begin_node_id, end_node_id, z from a join l using (pos)")
@@ -838,9 +838,10 @@ def _(fx):
 OFF = f"{PRED}, pt as (select trip_id, sum(cast(sign(t - true_time) as double) * w) as o, sum(w) as n from ob group by 1), lo as (select begin_node_id, end_node_id, sum(o) as off, sum(n) as n from path_links join pt using (trip_id) group by 1, 2)"
 
 
-@query("link_offsets", f"with {OFF} select begin_node_id, end_node_id, off as link_offset, n as num_trips from lo")
+@query("link_offsets", f"with {OFF} select begin_node_id, end_node_id, off + 0e0 as link_offset, n as num_trips from lo")
 def _(fx):
-    return est.link_offsets(fx["path_links"], observed(fx)).withColumnRenamed("offset", "link_offset")
+    o = est.link_offsets(fx["path_links"], observed(fx))
+    return o.select(*PAIR, (F.col("offset") + F.lit(0.0)).alias("link_offset"), "num_trips")
 
 
 @query("proposed_times", f"with {OFF} select begin_node_id, end_node_id, round(greatest(case when off > 0 then l.street_length / 10 / 1.2e0 when off < 0 then l.street_length / 10 * 1.2e0 else l.street_length / 10 end, l.street_length / 30), 6) as proposed from lo join road_links_raw l using (begin_node_id, end_node_id)")
