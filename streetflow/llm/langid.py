@@ -90,7 +90,8 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(LETTERS.findall(text.lower())) if text else None
-        if not counts or not self.langs:
+        # Digits such as superscripts match the pattern too, so a letter is asked for.
+        if not counts or not self.langs or not any(c.isalpha() for w in counts for c in w):
             return "und", 0.0
         rows, weights, total = [], [], np.zeros(len(self.langs))
         get, cache = self.words.get, self.cache
