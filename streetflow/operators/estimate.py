@@ -93,11 +93,11 @@ def estimate_by(collapsed: DataFrame, key: str, g: kernels.Graph, max_iter: int
 
     A slice that fails gives one row with its error instead of ending the job.
     """
-    shared = collapsed.sparkSession.sparkContext.broadcast(g)
+    shared = collapsed.sparkSession.sparkContext.broadcast(g.raw())
     columns = [key, *PAIR, "time", "num_trips", "mean_abs_first", "mean_abs_last", "error"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, name = shared.value, pdf[key].iloc[0]
+        g, name = kernels.Graph(*shared.value), pdf[key].iloc[0]
         try:
             time, counts, train, _ = kernels.estimate(g, _observed(pdf, g), max_iter, scheme, relative=relative)
         except Exception as e:  # noqa: BLE001
@@ -134,10 +134,11 @@ def cross_validate(trips: DataFrame, g: kernels.Graph, k: int, max_iter: int, si
     spark = trips.sparkSession
     variants = [(f"size {s}", s, None) for s in sizes or []] + [(n, 1.0, n) for n in schemes or {}] or [("all", 1.0, None)]
     jobs = spark.createDataFrame([(v, float(s), n, f) for v, s, n in variants for f in range(k)], "variant string, share double, scheme string, test_fold long")
-    shared = spark.sparkContext.broadcast((g, schemes or {}))
+    shared = spark.sparkContext.broadcast((g.raw(), schemes or {}))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, named = shared.value
+        raw, named = shared.value
+        g = kernels.Graph(*raw)
         first = pdf.iloc[0]
 
         def collapsed(part):

@@ -40,10 +40,11 @@ def route_trips(trips: DataFrame, g: kernels.Graph, goal: bool = False, flags=No
 
     goal: lean the search towards the target. flags: (forward, backward, region per node number) from kernels.arc_flags.
     """
-    shared = trips.sparkSession.sparkContext.broadcast((g, flags))
+    shared = trips.sparkSession.sparkContext.broadcast((g.raw(), flags))
 
     def run(batches):
-        g, flags = shared.value
+        raw, flags = shared.value
+        g = kernels.Graph(*raw)
         time = g.time.tolist()
         speed = g.max_speed(g.time) if goal else None
         for b in batches:
@@ -72,10 +73,10 @@ def path_links(routed: DataFrame) -> DataFrame:
 
 def trees(sources: DataFrame, g: kernels.Graph, reverse: bool = False, most: int | None = None) -> DataFrame:
     """(source, node, cost): least costs from each source (to it, if reverse); the ``most`` nearest nodes only, if given."""
-    shared = sources.sparkSession.sparkContext.broadcast(g)
+    shared = sources.sparkSession.sparkContext.broadcast(g.raw())
 
     def run(batches):
-        g = shared.value
+        g = kernels.Graph(*shared.value)
         time = g.time.tolist()
         for b in batches:
             for s in b["source"]:
@@ -91,11 +92,12 @@ def arc_flags(g: kernels.Graph, regions: DataFrame) -> DataFrame:
     """(begin_node_id, end_node_id, region_id, forward, backward), one task per region. regions: node_id, region_id."""
     at = regions.toPandas().set_index("node_id")["region_id"].reindex(g.ids).fillna(-1).to_numpy(np.int64)
     spark = regions.sparkSession
-    shared = spark.sparkContext.broadcast((g, at))
+    shared = spark.sparkContext.broadcast((g.raw(), at))
     names = sorted(int(x) for x in np.unique(at) if x >= 0)
 
     def run(batches):
-        g, at = shared.value
+        raw, at = shared.value
+        g = kernels.Graph(*raw)
         for b in batches:
             for r in b["region_id"]:
                 f, back = kernels.arc_flags(g, g.time.tolist(), at, [int(r)])
