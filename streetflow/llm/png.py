@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -127,14 +126,21 @@ def decode(data: bytes) -> np.ndarray:
     return unfilter_rows(np.frombuffer(raw, np.uint8).reshape(size[1], size[0] + 1))
 
 
-@lru_cache(maxsize=64)
+_REDUCED: dict[int, np.ndarray] = {}
+
+
 def _reduce(n: int) -> np.ndarray:
     """8 x n: area means of n samples in 32 cells, then the 8 lowest cosine terms."""
+    if n in _REDUCED:
+        return _REDUCED[n]
+    if len(_REDUCED) >= 64:
+        _REDUCED.clear()
     edges = np.linspace(0, n, SIDE + 1)
     low, high, k = edges[:-1, None], edges[1:, None], np.arange(n)[None, :]
     area = np.clip(np.minimum(high, k + 1) - np.maximum(low, k), 0, None) * SIDE / n
     cos = np.cos(np.pi * np.arange(KEEP)[:, None] * (2 * np.arange(SIDE)[None, :] + 1) / (2 * SIDE))
-    return cos @ area
+    out = _REDUCED[n] = cos @ area
+    return out
 
 
 def cosine_hash(img: np.ndarray) -> str:
