@@ -47,14 +47,15 @@ def sample(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_la
 
 
 class Model:
-    """Words and n-grams map to rows of a matrix with a column per language."""
+    """Words and n-grams map to rows of one matrix with a column per language."""
 
     def __init__(self, rows: list[tuple[str, str]]):
         self.langs = sorted({lang for lang, _ in rows})
+        self.rows = np.empty((0, len(self.langs)))
         words = {lang: Counter() for lang in self.langs}
         for lang, text in rows:
             words[lang].update(LETTERS.findall(text.lower()))
-        self.words, self.word_rows = self._table(words, MAX_WORDS)
+        self.words = self._add(words, MAX_WORDS)
         self.grams = {}
         for n in ORDERS:
             counts = {}
@@ -63,37 +64,41 @@ class Model:
                 for w, k in words[lang].items():
                     for g in self.split(w, n):
                         c[g] += k
-            self.grams[n] = self._table(counts, MAX_GRAMS)
-        self.cache: dict[str, np.ndarray] = {}
+            self.grams[n] = self._add(counts, MAX_GRAMS)
+        self.cache: dict[str, list[int]] = {}
 
     @staticmethod
     def split(word: str, n: int) -> list[str]:
         padded = f" {word} " if n > 1 else word
         return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
-    def _table(self, counts: dict[str, Counter], most: int):
+    def _add(self, counts: dict[str, Counter], most: int) -> dict[str, int]:
+        """Rows for the commonest keys of each language; {key: row}."""
         keys = sorted({k for lang in self.langs for k, _ in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:most]})
         rows = np.empty((len(keys), len(self.langs)))
         for j, lang in enumerate(self.langs):
             c = counts[lang]
             total = sum(c.values()) + 0.5 * (len(keys) + 1)
             rows[:, j] = np.log([(c[k] + 0.5) / total for k in keys]) if keys else 0
-        return {k: i for i, k in enumerate(keys)}, rows
+        start = len(self.rows)
+        self.rows = np.concatenate([self.rows, rows])
+        return {k: start + i for i, k in enumerate(keys)}
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> list[int]:
+        """Rows of the word's known n-grams of the longest length that has any."""
         for n in ORDERS:
-            index, rows = self.grams[n]
-            known = [i for i in map(index.get, self.split(word, n)) if i is not None]
+            get = self.grams[n].get
+            known = [i for i in map(get, self.split(word, n)) if i is not None]
             if known:
-                return rows[known].mean(axis=0)
-        return np.zeros(len(self.langs))
+                return known
+        return []
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(LETTERS.findall(text.lower())) if text else None
         # Digits such as superscripts match the pattern too, so a letter is asked for.
         if not counts or not self.langs or not any(c.isalpha() for w in counts for c in w):
             return "und", 0.0
-        rows, weights, total = [], [], np.zeros(len(self.langs))
+        rows, weights = [], []
         get, cache = self.words.get, self.cache
         for w, k in counts.items():
             i = get(w)
@@ -101,14 +106,16 @@ class Model:
                 rows.append(i)
                 weights.append(k)
                 continue
-            v = cache.get(w)
-            if v is None:
+            grams = cache.get(w)
+            if grams is None:
                 if len(cache) >= CACHE:
                     cache.clear()
-                v = cache[w] = self.unseen(w)
-            total += k * v
-        if rows:
-            total += np.asarray(weights, float) @ self.word_rows[rows]
+                grams = cache[w] = self.unseen(w)
+            if grams:
+                # The mean over the n-grams, as a weight of each.
+                rows += grams
+                weights += [k / len(grams)] * len(grams)
+        total = np.asarray(weights, float) @ self.rows[rows] if rows else np.zeros(len(self.langs))
         n = counts.total()
         best = int(np.argmax(np.round(total, 9)))
         # Evidence grows with the square root of the length: words of one text are not independent.
