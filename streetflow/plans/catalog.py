@@ -178,12 +178,12 @@ def _(fx):
 
 @query(
     "adjacent_streets",
-    """with l as (select begin_node_id as b, end_node_id as e from road_links_raw where begin_node_id % 10 = 0), e as (select * from l where (b + e) % 3 = 0)
+    """with l as (select begin_node_id as b, end_node_id as e from road_links_raw), e as (select * from l where (b + e) % 3 = 0)
 select distinct l.b as begin_node_id, l.e as end_node_id, e.b as adj_begin_node_id, e.e as adj_end_node_id
 from l join e on (l.b = e.b or l.b = e.e or l.e = e.b or l.e = e.e) and not (l.b = e.b and l.e = e.e)""",
 )
 def _(fx):
-    l = fx["road_links_raw"].where("begin_node_id % 10 = 0")
+    l = fx["road_links_raw"]
     return network.adjacent_streets(l, l.where("(begin_node_id + end_node_id) % 3 = 0"))
 
 
@@ -444,9 +444,9 @@ NEAR = f"""select trip_id, node_id from (
  from {{t}} t join {EXT} x on {{p}}_lat between s and n and {{p}}_lon between w and e cross join road_nodes d) q where k = 1"""
 
 
-@query("nearest_node", f"select t.trip_id, node_id from trips t left join ({NEAR.format(p='from', t='trips')}) z using (trip_id) where t.trip_id < 4000")
+@query("nearest_node", f"select t.trip_id, node_id from trips t left join ({NEAR.format(p='from', t='trips')}) z using (trip_id)")
 def _(fx):
-    return nearest.nearest_nodes(fx["trips"].where("trip_id < 4000"), fx["road_nodes"], "trip_id", "from_lat", "from_lon").select("trip_id", "node_id")
+    return nearest.nearest_nodes(fx["trips"], fx["road_nodes"], "trip_id", "from_lat", "from_lon").select("trip_id", "node_id")
 
 
 @query(
@@ -479,14 +479,14 @@ def _(fx):
     "nearest_node_grid",
     """with x as (select min(lat) as s, max(lat) + 0.01e0 as n, min(lon) as w, max(lon) + 0.01e0 as e from road_nodes),
 d as (select node_id, lat, lon, floor((lat - s) / (n - s) * 20) as cy, floor((lon - w) / (e - w) * 20) as cx from road_nodes, x),
-t as (select trip_id, from_lat, from_lon, floor((from_lat - s) / (n - s) * 20) as ty, floor((from_lon - w) / (e - w) * 20) as tx from trips, x where trip_id < 4000),
+t as (select trip_id, from_lat, from_lon, floor((from_lat - s) / (n - s) * 20) as ty, floor((from_lon - w) / (e - w) * 20) as tx from trips, x),
 m as (select trip_id, node_id, row_number() over (partition by trip_id order by
  ((from_lat - lat) * 111194.86461e0) * ((from_lat - lat) * 111194.86461e0) + ((from_lon - lon) * 84253.1418965e0) * ((from_lon - lon) * 84253.1418965e0), node_id) as k
  from t join d on abs(cy - ty) <= 1 and abs(cx - tx) <= 1 where ty between 0 and 19 and tx between 0 and 19)
 select t.trip_id, m.node_id from t left join m on m.trip_id = t.trip_id and k = 1""",
 )
 def _(fx):
-    return nearest.nearest_in_grid(fx["trips"].where("trip_id < 4000"), fx["road_nodes"], "trip_id", "from_lat", "from_lon")
+    return nearest.nearest_in_grid(fx["trips"], fx["road_nodes"], "trip_id", "from_lat", "from_lon")
 
 
 # ---------------------------------------------------------------- storage
@@ -712,19 +712,19 @@ def _(fx):
     return c.join(c.groupBy("component").agg(F.count("*").alias("n")).where("n < 5"), "component").select("component", "node", "n")
 
 
-def od_pairs(fx, n=60):
-    """Pairs of nodes, the same for every router."""
-    ids = fx["road_nodes"].where(f"node_id <= {n}")
-    return ids.select(F.col("node_id").alias("trip_id"), F.col("node_id").alias("origin"), ((F.col("node_id") * 37) % 200 + 1).alias("dest"))
+def od_pairs(fx):
+    """A trip from every node, the same for every router."""
+    n = F.col("node_id")
+    return fx["road_nodes"].select(n.alias("trip_id"), n.alias("origin"), ((n * 37) % 200 + 1).alias("dest"))
 
 
-#: Costs of all pairs' routes, from shortest-path trees of their origins.
-OD = """with recursive e as (select begin_node_id as u, end_node_id as v, street_length / 10 as w from road_links),
-od as (select node_id as trip_id, node_id as origin, (node_id * 37) % 200 + 1 as dest from road_nodes where node_id <= 60),
-r(src, node, cost) using key (src, node) as (select origin, origin, 0e0 from od
+#: Costs of all pairs' routes, from shortest-path trees towards their destinations.
+OD = """with recursive e as (select begin_node_id as v, end_node_id as u, street_length / 10 as w from road_links),
+od as (select node_id as trip_id, node_id as origin, (node_id * 37) % 200 + 1 as dest from road_nodes),
+r(src, node, cost) using key (src, node) as (select distinct dest, dest, 0e0 from od
  union select r.src, e.v, min(r.cost + e.w) from r join e on e.u = r.node left join recurring.r q on q.node = e.v and q.src = r.src
  where q.cost is null or r.cost + e.w < q.cost group by r.src, e.v)
-select trip_id, origin, dest, round(cost, 4) as cost from od left join r on r.src = origin and r.node = dest"""
+select trip_id, origin, dest, round(cost, 4) as cost from od left join r on r.src = dest and r.node = origin"""
 
 
 def road_graph(fx):
@@ -771,7 +771,7 @@ def _(fx):
 @query("boundary_labels")
 def _(fx):
     g, r = road_graph(fx), regions.kd_regions(fx["road_nodes"], 1).select("node_id", "region_id")
-    b = regions.boundary(fx["road_links"], r).where("node_id <= 40").select(F.col("node_id").alias("source"))
+    b = regions.boundary(fx["road_links"], r).select(F.col("node_id").alias("source"))
     to = routing.trees(b, g, reverse=True).withColumn("direction", F.lit("to"))
     return to.union(routing.trees(b, g).withColumn("direction", F.lit("from"))).withColumn("cost", r6("cost"))
 
@@ -784,7 +784,7 @@ def _(fx):
 
 @query("route_coords")
 def _(fx):
-    t = nearest.match_trips(fx["trips"].where("trip_id < 300"), fx["road_nodes"])
+    t = nearest.match_trips(fx["trips"], fx["road_nodes"])
     return costs(routing.route_trips(t, road_graph(fx), goal=True))
 
 
@@ -798,7 +798,7 @@ def _(fx):
 @query("affinity")
 def _(fx):
     g = routing.load_graph(timed(fx))
-    near = routing.trees(fx["road_nodes"].where("node_id <= 50").select(F.col("node_id").alias("source")), g, most=8)
+    near = routing.trees(fx["road_nodes"].select(F.col("node_id").alias("source")), g, most=8)
     return partition.affinity(near, 20.0).withColumn("v", r6("v"))
 
 
@@ -886,12 +886,12 @@ def _(fx):
     return f.join(F.broadcast(s), F.col("at") < F.col("limit")).groupBy("share").agg(F.count("*").alias("n"), F.min("at").alias("first"))
 
 
-LISTS = "(select trip_id % 6 as list, row_number() over (partition by trip_id % 6 order by trip_id) - 1 as pos, cast(duration_s as double) as x from trips where trip_id < 100 + 7 * (trip_id % 6))"
+LISTS = "(select user_id % 6 as list, row_number() over (partition by user_id % 6 order by trip_id) - 1 as pos, cast(duration_s as double) as x from trips)"
 
 
 @query("avg_lists", f"select pos, round(avg(x), 6) as mean from {LISTS} l group by pos")
 def _(fx):
-    t = fx["trips"].where("trip_id < 100 + 7 * (trip_id % 6)").withColumn("list", F.col("trip_id") % 6)
+    t = fx["trips"].withColumn("list", F.col("user_id") % 6)
     arrays = t.groupBy("list").agg(F.transform(F.sort_array(F.collect_list(F.struct("trip_id", "duration_s"))), lambda x: x["duration_s"]).alias("v"))
     long = arrays.select("list", F.posexplode("v").alias("pos", "x"))
     return est.ragged_mean(long, [], "pos", ["x"]).select(F.col("pos").cast("long").alias("pos"), r6("x").alias("mean"))
@@ -957,7 +957,7 @@ def _(fx):
 
 @query("impute_streets")
 def _(fx):
-    s = snapped(fx).where("num_trips >= 2 and begin_node_id % 4 = 0").withColumn("speed", F.col("street_length") / F.col("time"))
+    s = snapped(fx).where("num_trips >= 3").withColumn("speed", F.col("street_length") / F.col("time"))
     return legacy.impute_streets(fx["road_links_raw"], s).withColumn("speed", r6("speed"))
 
 

@@ -56,8 +56,7 @@ from road_links_raw cross join (select 0 as h union all select 1 union all selec
 select cast(row_number() over (order by a.begin_node_id, a.end_node_id, b.end_node_id) as bigint) as trip_id,
        a.begin_node_id as o, a.end_node_id as via, b.end_node_id as d,
        (a.street_length + b.street_length) * (0.8e0 + cast((a.begin_node_id + b.end_node_id) % 9 as double) / 20) as dist_m
-from road_links_raw a join road_links_raw b on a.end_node_id = b.begin_node_id
-where (a.begin_node_id * 3 + b.end_node_id) % 5 = 0""",
+from road_links_raw a join road_links_raw b on a.end_node_id = b.begin_node_id""",
     "path_links": """
 select trip_id, 0 as pos, o as begin_node_id, via as end_node_id, dist_m from paths
 union all select trip_id, 1, via, d, dist_m from paths""",
