@@ -71,12 +71,17 @@ def _key(tag: int, positions: tuple[int, ...]) -> Column:
     return out
 
 
+def distance(a: np.ndarray, b) -> np.ndarray:
+    """Bits that differ. Unsigned: numpy counts the bits of a negative number's absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Count filter, then verification."""
     x = a ^ b
     shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
     out = shared >= MIN_SHARED
-    out[out] = np.bitwise_count(x[out]) <= MAX_BITS
+    out[out] = distance(x[out], 0) <= MAX_BITS
     return out
 
 
@@ -149,7 +154,7 @@ def forest(fp: np.ndarray, positions: tuple[int, ...]) -> tuple[np.ndarray, np.n
     lab = np.arange(m)
     if m <= 2048:
         for i in range(m):
-            linked = np.unique(lab[np.bitwise_count(fp ^ fp[i]) <= MAX_BITS])
+            linked = np.unique(lab[distance(fp, fp[i]) <= MAX_BITS])
             if len(linked) > 1:
                 lab[np.isin(lab, linked)] = linked[0]
     else:

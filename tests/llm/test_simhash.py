@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -78,3 +79,24 @@ def test_long_lists_lose_no_link(spark, spread):
     got = simhash.connected_components(simhash.links(df), "a", "b").collect()
     want = plain_components({x: x for x in fps})
     assert {x.node: x.root for x in got} == {k: v for k, v in want.items() if list(want.values()).count(v) > 1}
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize("n", [2, 40, 200])
+def test_top_bit_counts_like_any_other(spark, n):
+    """Fingerprints that differ in bit 63, in short lists and in lists that are posted again."""
+    r, low = random.Random(n), 0x1234_5678_9ABC_DE00
+    fps = {low, low ^ (1 << 63 | 1), low ^ ((1 << 10) - 1) << 54}
+    fps |= {low ^ r.getrandbits(1) << 63 ^ r.getrandbits(8) << 8 ^ r.getrandbits(6) << 57 for _ in range(n)}
+    fps = sorted(signed(x) for x in fps)
+    a = np.array(fps, np.int64)
+    for x in fps:
+        want = [(x % (1 << 64) ^ y % (1 << 64)).bit_count() <= 3 for y in fps]
+        assert simhash.near(a, np.full_like(a, x)).tolist() == want
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    got = simhash.connected_components(simhash.links(df), "a", "b").collect()
+    want = plain_components({x: x % (1 << 64) for x in fps})
+    assert {x.node: x.root for x in got} == {k: v for k, v in want.items() if list(want.values()).count(v) > 1}
