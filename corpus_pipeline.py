@@ -6,7 +6,8 @@ return the columns of documents; the last adds domain, n_words and epochs.
 * language_id drops documents without letters (null and empty texts among them) and those whose best language has a
   probability under ``MIN_SCORE``.
 * line_dedup deletes repeated runs of lines and drops documents of which nothing stays.
-* near_dedup keeps one document of each SimHash component.
+* near_dedup keeps one document of each component of texts whose sets of five-word shingles have a Jaccard similarity of
+  0.8 or more.
 * decontaminate drops documents that hold part of a benchmark item.
 * mix_sources selects documents, and how often each is read, by target weights.
 
@@ -19,7 +20,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from streetflow.llm import decontaminate, langid, linededup, mixing, scratch, simhash
+from streetflow.llm import decontaminate, langid, linededup, minhash, mixing, scratch, simhash
 from streetflow.llm.names import prefix
 
 MIN_SCORE = 0.3
@@ -37,7 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, classes=minhash.classes)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,119 @@
+"""Near copies by exact Jaccard similarity of word shingles; candidates by min-hash bands.
+
+A text is the set of its shingles of ``WIDTH`` words. ``BANDS`` bands of ``ROWS`` minima give posting keys: a pair of
+similarity 0.8 shares no key with a probability of 7e-5. Pairs of a list are compared by their minima first (a pair of
+0.8 is over five standard deviations above ``ROUGH``) and then by their shingles, so that each link is exact.
+
+A list of more than ``LIST_LIMIT`` members pairs each member with the next ``NEXT`` only, in an order of its own per key,
+so that work stays linear. A group of copies that are all alike still hangs together over its bands; a link of two
+members that share long lists only may be missed.
+
+Nulls: a null text is empty; texts without words are alike. Shorter texts are one shingle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructType
+
+from streetflow.llm import scratch
+from streetflow.llm.components import connected_components
+
+WIDTH, SEED, LEAST = 5, 42, 0.8
+BANDS, ROWS, ROUGH = 24, 5, 0.6
+LIST_LIMIT, NEXT, CHUNK = 32, 2, 1024
+_R = np.random.default_rng(SEED)
+TIMES, PLUS = (_R.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
+TIMES |= np.uint64(1)
+
+
+def shingles(data: bytes | None, width: int = WIDTH) -> set[bytes]:
+    words = (data or b"").lower().split()
+    if len(words) < width:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[k:] for k in range(width)))))
+
+
+def minima(data: bytes | None) -> tuple[int, np.ndarray]:
+    """(signed number of the shingle set, minima under all hash functions)."""
+    hashes = np.sort(np.array([xxhash.xxh64_intdigest(g, SEED) for g in shingles(data)], np.uint64))
+    low = np.full(len(TIMES), np.iinfo(np.uint64).max, np.uint64)
+    for s in range(0, len(hashes), CHUNK):
+        np.minimum(low, (hashes[s : s + CHUNK, None] * TIMES + PLUS).min(axis=0), out=low)
+    return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), SEED), "big", signed=True), low
+
+
+@F.pandas_udf(StructType().add("fp", LongType()).add("keys", ArrayType(LongType())).add("sig", BinaryType()))
+def minima_udf(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x in texts:
+        fp, low = minima(x)
+        keys = [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+        rows.append((fp, keys, low.astype(np.uint8).tobytes()))
+    return pd.DataFrame(rows, columns=["fp", "keys", "sig"])
+
+
+def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of the posting lists (key, fp, n members), in key order."""
+    key, fp, n = (np.empty(0, np.int64) for _ in range(3))
+    for batch in batches:
+        old = len(key)
+        key, fp, n = (np.r_[x, batch[c].to_numpy()] for x, c in ((key, "key"), (fp, "fp"), (n, "n")))
+        left, right = [], []
+        for gap in range(1, LIST_LIMIT):
+            at = np.arange(max(gap, old), len(key))
+            at = at[(key[at] == key[at - gap]) & ((n[at] <= LIST_LIMIT) | (gap <= NEXT))]
+            left.append(fp[at])
+            right.append(fp[at - gap])
+        a, b = np.concatenate(left), np.concatenate(right)
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        key, fp, n = key[-LIST_LIMIT:], fp[-LIST_LIMIT:], n[-LIST_LIMIT:]
+
+
+@F.pandas_udf(DoubleType())
+def rough(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([float((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean()) for x, y in zip(a, b)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b):
+        x, y = shingles(x), shingles(y)
+        both = len(x & y)
+        out.append(both / max(1, len(x) + len(y) - both))
+    return pd.Series(out, dtype="float64")
+
+
+def _with(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    for side in "ab":
+        pairs = pairs.join(table.select(F.col("fp").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+    return pairs
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of every row, fp numbering its shingle set, and (fp, root) for the sets that link to others."""
+    told = docs.select(
+        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), minima_udf(F.col(text_col).cast("binary")).alias("m")
+    )
+    fps = scratch.stage(told.select("doc_id", "text_hash", "m.*"), "minima")
+    sets = fps.groupBy("fp").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
+    sets = scratch.stage(sets, "sets")
+    postings = sets.select("fp", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(W.partitionBy("key")))
+    # Lists of one member make no pairs; the order inside a list differs from key to key.
+    lists = postings.where("n > 1").sortWithinPartitions("key", F.xxhash64("key", "fp"), "fp")
+    pairs = lists.select("key", "fp", "n").mapInPandas(scan, "a long, b long").distinct()
+    pairs = scratch.stage(_with(pairs, sets, "sig").where(rough("sig_a", "sig_b") >= ROUGH).select("a", "b"), "candidates")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    need = sets.join(need, "fp").select("fp", F.col("one.doc_id").alias("need_id"), F.col("one.text_hash").alias("need_hash"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"))
+    same = F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.col("text_hash") == F.col("need_hash"))
+    texts = rows.join(need, same).select("fp", "data").dropDuplicates(["fp"])
+    links = _with(pairs, texts, "data").where(jaccard("data_a", "data_b") >= least).select("a", "b")
+    roots = connected_components(links, "a", "b")
+    return fps.select("doc_id", "text_hash", "fp"), roots.withColumnRenamed("node", "fp")

@@ -260,9 +260,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes=_classes) -> DataFrame:
     """docs with one row of each component: that of the smallest id that is not null, then of the smallest text hash."""
-    fps, roots = _classes(docs, id_col, text_col)
+    fps, roots = classes(docs, id_col, text_col)
     p = prefix(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     # By fingerprint first, so that a group of a million copies joins as one row.

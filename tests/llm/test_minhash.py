@@ -1,0 +1,48 @@
+from collections import defaultdict
+
+import pytest
+
+from streetflow.llm import minhash, simhash
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain_kept(rows, least=minhash.LEAST):
+    """Smallest id of each component of the pairs whose five-word Jaccard similarity is least or more."""
+    sets, lists, parent = {i: minhash.shingles((t or "").encode()) for i, t in rows}, defaultdict(list), {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sorted(sets):
+        seen = defaultdict(int)
+        for g in sets[i]:
+            for j in lists[g]:
+                seen[j] += 1
+            lists[g].append(i)
+        for j, both in seen.items():
+            if both / (len(sets[i]) + len(sets[j]) - both) >= least:
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return {i for i in sets if find(i) == i}
+
+
+def test_near_copies_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text rlike '[^\\\\s]'")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = plain_kept(rows)
+    got = {r.doc_id for r in simhash.keep_one(docs, classes=minhash.classes).collect()}
+    assert got == want
+    assert got != {r.doc_id for r in simhash.keep_one(docs).collect()}
+
+
+def test_stage_joins_copies_beyond_three_bits(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(300)]
+    rows = [(n, " ".join(w if k // 9 != n else f"new{n}" for k, w in enumerate(words))) for n in range(4)]
+    df = spark.createDataFrame(rows + [(9, "some other text of few words"), (10, None), (11, "")], "doc_id long, text string")
+    assert len({simhash.fingerprint(t.encode()) for _, t in rows}) > 1
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {0, 9, 10}
