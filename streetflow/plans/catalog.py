@@ -911,23 +911,27 @@ def collapsed_by(fx, key, where="true"):
     )
 
 
+#: Rounds of the estimation loop unless it stops by itself, as the reference runs it.
+MAX_ITER = 20
+
+
 def rounded_estimates(df):
     return df.select("slice", *PAIR, F.round("time", 4).alias("time"), F.round("num_trips", 4).alias("num_trips"), F.round("mean_abs_first", 4).alias("mean_abs_first"), F.round("mean_abs_last", 4).alias("mean_abs_last"), "error")
 
 
 @query("estimate")
 def _(fx):
-    return rounded_estimates(est.estimate_by(collapsed_by(fx, F.lit("all")), "slice", road_graph(fx), max_iter=3))
+    return rounded_estimates(est.estimate_by(collapsed_by(fx, F.lit("all")), "slice", road_graph(fx), max_iter=MAX_ITER))
 
 
 @query("estimate_hourly")
 def _(fx):
-    return rounded_estimates(est.estimate_by(collapsed_by(fx, F.date_format("pickup_datetime", "HH")), "slice", road_graph(fx), max_iter=3)).where("num_trips > 0")
+    return rounded_estimates(est.estimate_by(collapsed_by(fx, F.date_format("pickup_datetime", "HH")), "slice", road_graph(fx), max_iter=MAX_ITER)).where("num_trips > 0")
 
 
 @query("estimate_relative")
 def _(fx):
-    return rounded_estimates(est.estimate_by(collapsed_by(fx, F.lit("all")), "slice", road_graph(fx), max_iter=3, relative=True))
+    return rounded_estimates(est.estimate_by(collapsed_by(fx, F.lit("all")), "slice", road_graph(fx), max_iter=MAX_ITER, relative=True))
 
 
 def matched_folds(fx, k):
@@ -937,13 +941,13 @@ def matched_folds(fx, k):
 
 @query("cv_errors")
 def _(fx):
-    cv = est.cross_validate(matched_folds(fx, 4), road_graph(fx), 4, 3)
+    cv = est.cross_validate(matched_folds(fx, 4), road_graph(fx), 4, MAX_ITER)
     return est.ragged_mean(cv, [], "iteration", ["train_abs", "test_abs", "train_rel", "test_rel"])
 
 
 @query("learning_curve")
 def _(fx):
-    cv = est.cross_validate(matched_folds(fx, 2), road_graph(fx), 2, 2, sizes=[0.25, 0.5, 1.0])
+    cv = est.cross_validate(matched_folds(fx, 2), road_graph(fx), 2, MAX_ITER, sizes=[0.25, 0.5, 1.0])
     last = cv.groupBy("variant", "fold").agg(F.max_by(F.struct("train_abs", "test_abs"), "iteration").alias("e"))
     return last.groupBy("variant").agg(F.avg("e.train_abs").alias("train_abs"), F.avg("e.test_abs").alias("test_abs"))
 
@@ -951,7 +955,7 @@ def _(fx):
 @query("kernel_sweep")
 def _(fx):
     schemes = {"abs gauss 800": ("abs", "gauss", 800.0), "rel lasso 0.5": ("rel", "lasso", 0.5), "abs threshold 800": ("abs", "threshold", 800.0)}
-    cv = est.cross_validate(matched_folds(fx, 2), road_graph(fx), 2, 2, schemes=schemes)
+    cv = est.cross_validate(matched_folds(fx, 2), road_graph(fx), 2, MAX_ITER, schemes=schemes)
     return est.ragged_mean(cv, ["variant"], "iteration", ["train_abs", "test_abs"])
 
 
