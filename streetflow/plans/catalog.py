@@ -653,8 +653,14 @@ def _(fx):
 
 @query("spectral_clusters")
 def _(fx):
-    links = fx["mini_links"].select(F.col("a").alias(PAIR[0]), F.col("b").alias(PAIR[1]))
-    return partition.spectral_clusters(network.laplacian(network.adjacency(links), normalised=True), 4)
+    return partition.spectral_clusters(network.laplacian(network.adjacency(fx["road_links_raw"].select(*PAIR)), normalised=True), 4)
+
+
+@query("modularity_road")
+def _(fx):
+    """modularity of the whole road graph; the SQL of modularity is bound to its small one."""
+    und = network.undirected(fx["road_links_raw"])
+    return partition.modularity(und, fx["road_nodes"].select(F.col("node_id").alias("node"), (F.col("node_id") % 8).alias("label")))
 
 
 @query("balanced_partition")
@@ -696,6 +702,31 @@ def mini(fx):
     return graph.strong_components(fx["mini_links"].select(F.col("a").alias("u"), F.col("b").alias("v")), nodes)
 
 
+def whole(fx):
+    """Components of the whole road graph; the SQL closure of scc would be too slow there."""
+    links = fx["road_links_raw"].select(F.col(PAIR[0]).alias("u"), F.col(PAIR[1]).alias("v"))
+    return graph.strong_components(links, fx["road_nodes"].select(F.col("node_id").alias("node")))
+
+
+def small(c):
+    return c.join(c.groupBy("component").agg(F.count("*").alias("n")).where("n < 5"), "component").select("component", "node", "n")
+
+
+@query("scc_road")
+def _(fx):
+    return whole(fx)
+
+
+@query("largest_scc_road")
+def _(fx):
+    return graph.largest_component(whole(fx))
+
+
+@query("small_scc_rows_road")
+def _(fx):
+    return small(whole(fx))
+
+
 @query("scc", CLOSE + "select node, component from s")
 def _(fx):
     return mini(fx)
@@ -708,8 +739,7 @@ def _(fx):
 
 @query("small_scc_rows", CLOSE + ", z as (select component, count(*) as n from s group by 1) select component, node, n from s join z using (component) where n < 5")
 def _(fx):
-    c = mini(fx)
-    return c.join(c.groupBy("component").agg(F.count("*").alias("n")).where("n < 5"), "component").select("component", "node", "n")
+    return small(mini(fx))
 
 
 def od_pairs(fx):
@@ -718,6 +748,15 @@ def od_pairs(fx):
     return fx["road_nodes"].select(n.alias("trip_id"), n.alias("origin"), ((n * 37) % 200 + 1).alias("dest"))
 
 
+def od_whole(fx):
+    """A trip from every node; destinations range over all nodes."""
+    ends = fx["road_nodes"].agg(F.min("node_id").alias("low"), F.max("node_id").alias("high"))
+    n, low = F.col("node_id"), F.col("low")
+    to = fx["road_nodes"].crossJoin(F.broadcast(ends))
+    to = to.select(n.alias("trip_id"), n.alias("origin"), (n * 7919 % (F.col("high") - low + 1) + low).alias("dest"))
+    return to.join(fx["road_nodes"].select(n.alias("dest")), "dest", "left_semi").select("trip_id", "origin", "dest")
+
+
 #: Costs of all pairs' routes, from shortest-path trees towards their destinations.
 OD = """with recursive e as (select begin_node_id as v, end_node_id as u, street_length / 10 as w from road_links),
 od as (select node_id as trip_id, node_id as origin, (node_id * 37) % 200 + 1 as dest from road_nodes),
@@ -763,6 +802,28 @@ def _(fx):
     return costs(routing.route_trips(od_pairs(fx), g, goal=True, flags=routing.flag_matrix(g, f, r)))
 
 
+@query("route_trips_road")
+def _(fx):
+    return costs(routing.route_trips(od_whole(fx), road_graph(fx)))
+
+
+@query("route_astar_cost_road")
+def _(fx):
+    return costs(routing.route_trips(od_whole(fx), road_graph(fx), goal=True))
+
+
+@query("route_arcflags_cost_road")
+def _(fx):
+    g, r, f = flagged(fx, 1)
+    return costs(routing.route_trips(od_whole(fx), g, flags=routing.flag_matrix(g, f, r)))
+
+
+@query("route_arcflags_astar_cost_road")
+def _(fx):
+    g, r, f = flagged(fx, 1)
+    return costs(routing.route_trips(od_whole(fx), g, goal=True, flags=routing.flag_matrix(g, f, r)))
+
+
 @query("arcflags")
 def _(fx):
     return flagged(fx, 1)[2]
@@ -778,7 +839,7 @@ def _(fx):
 
 @query("trip_links")
 def _(fx):
-    l = routing.path_links(routing.route_trips(od_pairs(fx), road_graph(fx)))
+    l = routing.path_links(routing.route_trips(od_whole(fx), road_graph(fx)))
     return network.with_nodes(l, fx["road_nodes"])
 
 
