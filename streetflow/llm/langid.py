@@ -5,12 +5,16 @@ n-grams, longest first: the first length of which the model knows any n-gram of
 A document's language has the highest sum over its words.
 
 The model is fitted on a bounded sample of labelled documents (``DOCS_PER_LANG`` whole documents and ``CHARS_PER_LANG``
-characters per language, chosen by a hash of the id) and pruned to ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams of each
-length per language, so its size is bounded whatever the corpus. Prediction reads whole texts, and nothing but the text.
+characters per language, ``SAMPLE_CHARS`` characters in all, chosen by a hash of the id) and pruned to ``MAX_WORDS`` words
+and ``MAX_GRAMS`` n-grams of each length per language. Every language that a labelled document has can be predicted: with
+many languages each one's share of the sample shrinks, and no language is left out. A key is stored for the languages that
+have it; the others share one value per language and length. Prediction reads whole texts, and nothing but the text.
 
 Nulls: a null text, or one without letters, gives ``und`` with score 0. Rows whose lang or text is null are not learned
-from; without any labelled row every prediction is ``und``. A null id is not held out and not learned from. Ties go to
-the language that sorts first. Repeated rows each get a row.
+from; without any labelled row (an empty table too) every prediction is ``und``. A null id is not held out and not learned
+from. Ties go to the language that sorts first. Repeated rows each get a row. Very long texts are counted word by word in
+one pass. Only the id, text and lang columns are read, so other columns may have any name; an input column named as the
+result's gives way to it.
 """
 
 from __future__ import annotations
@@ -23,19 +27,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
-DOCS_PER_LANG, CHARS_PER_LANG, MAX_WORDS, MAX_GRAMS, ORDERS, MAX_LANGS = 400, 2_000_000, 30_000, 8_000, (5, 4, 3, 2, 1), 200
+DOCS_PER_LANG, CHARS_PER_LANG, SAMPLE_CHARS = 400, 2_000_000, 100_000_000
+MAX_WORDS, MAX_GRAMS, ORDERS = 30_000, 8_000, (5, 4, 3, 2, 1)
 CACHE = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 def sample(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_lang: int = CHARS_PER_LANG) -> DataFrame:
-    """(lang, text): the bounded training sample. labelled has doc_id, text, lang without nulls."""
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    """(lang, text): the bounded training sample. labelled has doc_id, text, lang without nulls, and no other column."""
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     spark = labelled.sparkSession
-    share = {r.lang: min(1.0, 2.0 * docs_per_lang / r.n) for r in sizes.collect()}
+    share = {r.lang: min(1.0, 2.0 * docs_per_lang / r.n) for r in sizes}
     if not share:
         return labelled.select("lang", "text").limit(0)
+    chars_per_lang = min(chars_per_lang, SAMPLE_CHARS // len(share))
     shares = spark.createDataFrame(list(share.items()), "lang string, share double")
     # A hash threshold first, so that the ranking below sees about twice the bound, never a whole language.
     place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
@@ -47,75 +53,106 @@ def sample(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_la
 
 
 class Model:
-    """Words and n-grams map to rows of one matrix with a column per language."""
+    """Words and n-grams are keys. A key has a weight above the floor for each language whose texts have it.
+
+    ``floors`` holds what a key that a language lacks is worth there, per length (words first). The weights of key i are
+    ``above[first[i] : first[i + 1]]`` for the languages ``lang[...]`` of the same places.
+    """
 
     def __init__(self, rows: list[tuple[str, str]]):
         self.langs = sorted({lang for lang, _ in rows})
-        self.rows = np.empty((0, len(self.langs)))
-        words = {lang: Counter() for lang in self.langs}
+        self.floors = np.zeros((1 + len(ORDERS), len(self.langs)))
+        self._first, self._lang, self._above = [0], [], []
+        words = [Counter() for _ in self.langs]
+        number = {lang: j for j, lang in enumerate(self.langs)}
         for lang, text in rows:
-            words[lang].update(LETTERS.findall(text.lower()))
-        self.words = self._add(words, MAX_WORDS)
+            words[number[lang]].update(LETTERS.findall(text.lower()))
+        self.words = self._add(words, MAX_WORDS, 0)
         self.grams = {}
-        for n in ORDERS:
-            counts = {}
-            for lang in self.langs:
-                c = counts[lang] = Counter()
-                for w, k in words[lang].items():
+        for level, n in enumerate(ORDERS, 1):
+            counts = []
+            for of_lang in words:
+                c = Counter()
+                for w, k in of_lang.items():
                     for g in self.split(w, n):
                         c[g] += k
-            self.grams[n] = self._add(counts, MAX_GRAMS)
-        self.cache: dict[str, list[int]] = {}
+                counts.append(c)
+            self.grams[n] = self._add(counts, MAX_GRAMS, level)
+        self.first = np.array(self._first)
+        self.lang = np.array(self._lang, np.int64)
+        self.above = np.array(self._above, float)
+        del self._first, self._lang, self._above
+        self.cache: dict[str, tuple[int, list[int]]] = {}
 
     @staticmethod
     def split(word: str, n: int) -> list[str]:
         padded = f" {word} " if n > 1 else word
         return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
-    def _add(self, counts: dict[str, Counter], most: int) -> dict[str, int]:
-        """Rows for the commonest keys of each language; {key: row}."""
-        keys = sorted({k for lang in self.langs for k, _ in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:most]})
-        rows = np.empty((len(keys), len(self.langs)))
-        for j, lang in enumerate(self.langs):
-            c = counts[lang]
-            total = sum(c.values()) + 0.5 * (len(keys) + 1)
-            rows[:, j] = np.log([(c[k] + 0.5) / total for k in keys]) if keys else 0
-        start = len(self.rows)
-        self.rows = np.concatenate([self.rows, rows])
+    def _add(self, counts: list[Counter], most: int, level: int) -> dict[str, int]:
+        """Numbers of the commonest keys of each language."""
+        keys = sorted({k for c in counts for k, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most]})
+        log_total = [float(np.log(c.total() + 0.5 * (len(keys) + 1))) for c in counts]
+        self.floors[level] = np.log(0.5) - np.array(log_total)
+        has: dict[str, list[tuple[int, int]]] = {k: [] for k in keys}
+        for j, c in enumerate(counts):
+            for k, n in c.items():
+                if k in has:
+                    has[k].append((j, n))
+        start = len(self._first) - 1
+        for k in keys:
+            for j, n in has[k]:
+                self._lang.append(j)
+                self._above.append(float(np.log(n + 0.5) - np.log(0.5)))
+            self._first.append(len(self._lang))
         return {k: start + i for i, k in enumerate(keys)}
 
-    def unseen(self, word: str) -> list[int]:
-        """Rows of the word's known n-grams of the longest length that has any."""
-        for n in ORDERS:
+    def unseen(self, word: str) -> tuple[int, list[int]]:
+        """(level, known n-grams) of the longest length of which the word has any."""
+        for level, n in enumerate(ORDERS, 1):
             get = self.grams[n].get
             known = [i for i in map(get, self.split(word, n)) if i is not None]
             if known:
-                return known
-        return []
+                return level, known
+        return 0, []
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(LETTERS.findall(text.lower())) if text else None
-        # Digits such as superscripts match the pattern too, so a letter is asked for.
-        if not counts or not self.langs or not any(c.isalpha() for w in counts for c in w):
-            return "und", 0.0
-        rows, weights = [], []
+    def totals(self, counts: Counter) -> np.ndarray:
+        """Log score of each language for words with their counts."""
+        keys, weights, used = [], [], [0.0] * len(self.floors)
         get, cache = self.words.get, self.cache
         for w, k in counts.items():
             i = get(w)
             if i is not None:
-                rows.append(i)
+                keys.append(i)
                 weights.append(k)
+                used[0] += k
                 continue
-            grams = cache.get(w)
-            if grams is None:
+            found = cache.get(w)
+            if found is None:
                 if len(cache) >= CACHE:
                     cache.clear()
-                grams = cache[w] = self.unseen(w)
+                found = cache[w] = self.unseen(w)
+            level, grams = found
             if grams:
                 # The mean over the n-grams, as a weight of each.
-                rows += grams
+                keys += grams
                 weights += [k / len(grams)] * len(grams)
-        total = np.asarray(weights, float) @ self.rows[rows] if rows else np.zeros(len(self.langs))
+                used[level] += k
+        total = np.array(used) @ self.floors
+        if keys:
+            at = np.array(keys)
+            start, size = self.first[at], self.first[at + 1] - self.first[at]
+            ends = np.cumsum(size)
+            place = np.arange(ends[-1]) + np.repeat(start - (ends - size), size)
+            total += np.bincount(self.lang[place], np.repeat(np.array(weights, float), size) * self.above[place], len(total))
+        return total
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        counts = Counter(LETTERS.findall(text.lower())) if text else None
+        # Digits such as superscripts match the pattern too, so a letter is asked for.
+        if not counts or not self.langs or not any(c.isalpha() for w in counts for c in w):
+            return "und", 0.0
+        total = self.totals(counts)
         n = counts.total()
         best = int(np.argmax(np.round(total, 9)))
         # Evidence grows with the square root of the length: words of one text are not independent.
@@ -123,9 +160,10 @@ class Model:
         return self.langs[best], float(1 / likely.sum())
 
 
-def fit(labelled: DataFrame, **bounds: int) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds: int) -> Model:
     """Fit on the bounded sample of rows that have id, text and lang; only that sample reaches the driver."""
-    return Model([(r.lang, r.text) for r in sample(labelled.dropna(subset=["doc_id", "text", "lang"]), **bounds).collect()])
+    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return Model([(r.lang, r.text) for r in sample(rows.dropna(), **bounds).collect()])
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
