@@ -1,19 +1,22 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
 Texts and benchmark items become words (letters and digits, lower case). Each fixed mask hashes the words at its set
-places and ignores the others, so a substituted word under a zero spoils nothing. Hashes of all places of all texts are
-looked up among those of the items; around each hit the ``REGION`` words of the item that start at the seed (moved back
-at the item's end) are compared with the words of the text on the same diagonal, and the hit counts if at least
-``MIN_MATCH`` of them agree (80 % for a shorter item, all of which is compared). Equal hashes of unequal words are sorted
-out by that comparison.
-
-The seeds of the items are broadcast in blocks of at most ``BLOCK`` items whose words number at most ``BLOCK_WORDS``
-(checked by counting; an item of more words stands alone in its block, and is itself cut into overlapping pieces of
-``PIECE`` words first), one pass over the texts per block, so nothing of unproven size is broadcast. The texts are never
-shuffled; what is shuffled is one partial count per text and item.
-
-Nulls: null texts and items have no words. Items shorter than the shortest mask are looked up by no seed and find
-nothing. Repeated rows of texts count as one (the result has a row per id and item).
+places and ignores the others, so a substituted word under a zero spoils nothing. The masks together meet every pattern of
+two misses or fewer in ``REGION`` = 12 words, wherever they stand. Hashes of all places of all texts are looked up among
+those of the items; around each hit all stretches of 12 words that hold the start of the seed, before and behind it, are
+compared on the same diagonal, and the hit counts if at least ``MIN_MATCH`` words of one agree (80 % for a shorter item,
+all of which is compared). Equal hashes of unequal words are sorted out by that comparison.
+
+The seeds of the items are broadcast in blocks of at most ``BLOCK_WORDS`` words (checked by counting), one pass over the
+texts per block, so nothing of unproven size is broadcast. An item of more than ``PIECE`` words is cut into pieces first;
+each seed belongs to one piece, which holds all words that are compared around it, and lengths are those of the whole item,
+so the cut changes no result. The texts are never shuffled; what is shuffled is one partial count per text and item.
+
+Nulls: null texts and items have no words; a null id of a text or an item is an id like any other. Items shorter than the
+shortest mask are looked up by no seed and find nothing. Repeated rows of texts count as one (the result has a row per id
+and item), and so do repeated items; ties cannot occur, as the largest number of agreeing words is returned. Empty tables
+give no rows. Very long texts are read whole, place by place. Other columns are not read by ``find_leaks`` and are passed
+through by ``apply``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +26,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from streetflow.llm.names import prefix
 
 # The masks.
-MASKS = ("1111111", "110110111", "10110011011")
-REGION, MIN_MATCH, BLOCK_WORDS, PIECE = 12, 10, 200_000, 2_000
+MASKS = ("1111111", "110110111", "10110011011", "11110111", "1011101011", "1101001111")
+REGION, MIN_MATCH, BLOCK_WORDS, PIECE = 12, 10, 50_000, 2_000
+#: Places around a seed that a stretch of REGION words with the seed inside can reach.
+BEFORE = REGION - min(map(len, MASKS))
+AROUND = range(-BEFORE, REGION)
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -68,12 +74,15 @@ def _seeded(placed: DataFrame, array: str) -> DataFrame:
 
 
 def _pieces(items: DataFrame) -> DataFrame:
-    """Items as pieces of bounded length; neighbours share a region, so no window of an item is lost."""
-    step = PIECE - REGION
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("all") - 1) / step).cast("int") * step), F.lit(step))
-    return items.select("item_id", "all", F.explode(starts).alias("from")).select(
-        "item_id", F.slice("all", F.col("from") + 1, F.lit(PIECE)).alias("item")
-    )
+    """Items as pieces of bounded length: words, the place of the first one in the item, the seeds that are the piece's
+    own (from low to below high, places in the item), and the size of the item."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") - 1), F.lit(PIECE))
+    cut = items.select("item_id", "all", F.explode(starts).alias("low"))
+    offset = F.greatest(F.lit(0), F.col("low") - BEFORE)
+    return cut.select(
+        "item_id", F.slice("all", offset + 1, F.lit(PIECE + BEFORE + 2 * REGION)).alias("item"), offset.alias("offset"),
+        "low", (F.col("low") + PIECE).alias("high"), F.size("all").alias("whole"),
+    )
 
 
 def _blocks(pieces: DataFrame) -> DataFrame:
@@ -81,31 +90,27 @@ def _blocks(pieces: DataFrame) -> DataFrame:
     own = F.spark_partition_id()
     numbered = pieces.withColumn("part", own).withColumn("id", F.monotonically_increasing_id())
     before = F.sum(F.size("item")).over(W.partitionBy("part").orderBy("id").rowsBetween(W.unboundedPreceding, 0))
-    return numbered.withColumn("block", F.struct("part", F.floor(before / (BLOCK_WORDS - PIECE)).alias("n"))).drop("id", "part")
+    return numbered.withColumn("block", F.struct("part", F.floor(before / (BLOCK_WORDS - 2 * PIECE)).alias("n"))).drop("id", "part")
 
 
 def _hits(texts: DataFrame, pieces: DataFrame) -> DataFrame:
-    places = _placed(pieces, "item")
+    seed = F.col("offset") + F.col("at")
+    places = _placed(pieces, "item").where((seed >= F.col("low")) & (seed < F.col("high")))
     seeds = _seeded(places, "item").select(
-        "hash",
-        "item_id",
-        F.col("at").alias("seed_at"),
-        F.greatest(F.lit(0), F.least(F.col("at"), F.size("item") - REGION)).alias("from"),
-        "item",
-    )
-    seeds = seeds.select(
-        "hash", "item_id", (F.col("seed_at") - F.col("from")).alias("back"), F.slice("item", F.col("from") + 1, REGION).alias("region")
+        "hash", "item_id", "whole", F.array(*(F.get("item", F.col("at") + o) for o in AROUND)).alias("around")
     ).distinct()
     # A third of a mask's words decides for most places of a text that no mask can match there.
     maybe = _placed(texts, "words").join(F.broadcast(places.select("common").distinct()), "common", "left_semi")
     found = _seeded(maybe, "words").join(F.broadcast(seeds), "hash")
     # Written out per word: a lambda would end code generation, and the rows before the join would be built one by one.
-    start = F.col("at") - F.col("back")
-    agree = [F.coalesce((F.get("words", start + k) == F.get("region", F.lit(k))).cast("int"), F.lit(0)) for k in range(REGION)]
-    same = sum(agree[1:], agree[0])
-    need = F.when(F.size("region") >= REGION, F.lit(MIN_MATCH)).otherwise(F.ceil(F.size("region") * 4 / 5).cast("int"))
+    same = [(F.get("words", F.col("at") + o) == F.get("around", F.lit(k))) for k, o in enumerate(AROUND)]
+    found = found.select("doc_id", "item_id", "whole", *(F.coalesce(x.cast("int"), F.lit(0)).alias(f"same{k}") for k, x in enumerate(same)))
+    total = lambda a, b: sum((F.col(f"same{k}") for k in range(a + 1, b)), F.col(f"same{a}"))
+    windows = F.greatest(*(total(k, k + REGION) for k in range(BEFORE + 1)))
+    short = F.col("whole") < REGION
+    need = F.when(short, F.ceil(F.col("whole") * 4 / 5).cast("int")).otherwise(F.lit(MIN_MATCH))
     return (
-        found.select("doc_id", "item_id", same.alias("same"), need.alias("need"))
+        found.select("doc_id", "item_id", F.when(short, total(0, len(AROUND))).otherwise(windows).alias("same"), need.alias("need"))
         .where("same >= need")
         .groupBy("doc_id", "item_id")
         .agg(F.max("same").cast("long").alias("best"))
@@ -162,11 +167,11 @@ with d as (select doc_id, {split} as w from documents),
 b as (select item_id, {split} as i from benchmark),
 ds as ({seeds('d', 'doc_id, w', 'w')}),
 bs as ({seeds('b', 'item_id, i', 'i')}),
-h as (select doc_id, item_id, w, i, ds.pos as pos, bs.pos as seed_pos, greatest(0, least(bs.pos, len(i) - {REGION})) as f
-      from ds join bs using (seed)),
+h as (select distinct doc_id, item_id, w, i, ds.pos - bs.pos as shift, bs.pos as s from ds join bs using (seed)),
+f as (select *, unnest(range(greatest(0, s - {BEFORE}), greatest(0, least(s, len(i) - {REGION})) + 1)) as f from h),
 v as (select doc_id, item_id, len(list_filter(range(least({REGION}, len(i))), lambda k:
-        pos - seed_pos + f + k >= 0 and w[case when pos - seed_pos + f + k >= 0 then pos - seed_pos + f + k + 1 else 1000000000 end] = i[f + k + 1])) as same,
-        case when len(i) >= {REGION} then {MIN_MATCH} else cast(ceil(len(i) * 4 / 5.0) as int) end as need from h)
+        shift + f + k >= 0 and w[case when shift + f + k >= 0 then shift + f + k + 1 else 1000000000 end] = i[f + k + 1])) as same,
+        case when len(i) >= {REGION} then {MIN_MATCH} else cast(ceil(len(i) * 4 / 5.0) as int) end as need from f)
 select doc_id, item_id, cast(max(same) as bigint) as best from v where same >= need group by doc_id, item_id
 """
 
