@@ -1,6 +1,7 @@
-"""Intermediate tables in the folder that all executors share.
+"""Intermediate tables in the folder that all executors share, and joins with tables of a checked size.
 
-``spark.checkpoint.dir`` names it. Only where that is unset (tests, a laptop) is a temporary folder made.
+``spark.checkpoint.dir`` names the folder. Only where that is unset and Spark runs in one process (tests, a laptop) is a
+temporary folder made; on a cluster without the setting an error says so, for other machines would not see the files.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows up to which a narrow table is broadcast.
+SMALL_ROWS = 300_000
 _LOCAL: list[str] = []
 
 
@@ -20,6 +23,8 @@ def root(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/") + "/streetflow"
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="streetflow-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)
@@ -40,6 +45,15 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def broadcast_if_small(df: DataFrame, name: str, rows: int = SMALL_ROWS) -> DataFrame:
+    """df staged, with the hint to broadcast it if it has at most ``rows`` rows; else left to a shuffled join.
+
+    For tables of a few narrow columns only: the count is what proves the size.
+    """
+    staged = stage(df, name)
+    return F.broadcast(staged) if staged.count() <= rows else staged
+
+
 def drop(df_or_path: DataFrame | str) -> None:
     """Delete a staged table, best effort, once nothing reads it any more."""
     spark = SparkSession.getActiveSession()
