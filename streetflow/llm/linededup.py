@@ -4,16 +4,24 @@ A run is a stretch of consecutive lines (blank ones aside) with ``MIN_WORDS`` wo
 a run that contains it also stands at an earlier place, in the order (doc_id, hash of the text, line); within one
 document a repeat that overlaps its first place is none. So the first copy of everything stays.
 
-Winnowing: every shortest window of consecutive lines that reaches ``MIN_WORDS`` words selects the smallest of its line
-hashes as fingerprint. Equal runs hold equal windows and select equal fingerprints, so each repeated run is guaranteed a
-shared one. Fingerprints that occur once are dropped; the positions of the others are joined, and each match is extended
-both ways to the windows around it: windows with equal content (128-bit hash) are one class, whose first place is kept.
-Windows from every start and to every end are taken, and together they cover a run to its last line, as the brute-force
-test shows. Classes are reduced to their first place by partial aggregation; no pairs are made, however often a run
-occurs.
+1. Winnowing. Every shortest window of consecutive lines that reaches ``MIN_WORDS`` words, from every start and to every
+   end, selects the smallest of its line hashes (the first on a tie). A selected line is a fingerprint: one row per
+   selected line, with the windows that selected it. Equal runs hold equal windows and select equal lines, so a repeated
+   run is guaranteed a shared fingerprint. Most lines are selected by no window and most fingerprints occur once.
+2. Join. Fingerprints are counted (a number per hash, summed where it arises), and positions of those that occur once are
+   left out. Only for the others are the windows around the position unpacked.
+3. Extension. A match grows both ways from the shared line: windows around it with equal content (128-bit hash) are one
+   class, reduced to its first place by partial aggregation; no pairs are made, however often a run occurs. The later
+   windows of a document that overlap are merged into maximal runs.
+4. Deletion of the later runs. Only their places travel to the texts, by broadcast while they are few (counted).
+
+Limits: the unit is the line, so a passage that starts or ends inside a line counts with its whole lines only.
 
 Rows with the same id and text are one document and are treated alike. Nulls: a null text stays null; a null id sorts
-first. A document of which no word stays is left out by ``apply``. Lines are compared without surrounding white space.
+first. Ties of hashes go to the first line of a window, ties of places are one place. A document of which no word stays is
+left out by ``apply``. An empty table gives no rows. Very long texts are read line by line in one pass; a text's windows
+are at most twice its lines. Lines are compared without surrounding white space. Other columns are passed through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,18 +32,18 @@ from itertools import accumulate
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 from streetflow.llm import scratch
 from streetflow.llm.names import prefix
 
 MIN_WORDS = 50
-WINDOWS = "doc_id long, text_hash long, fp long, win binary, first int, last int"
+FINGERPRINTS = "doc_id long, text_hash long, fp long, line int, wins array<binary>, firsts array<int>, lasts array<int>"
 
 
-def windows(data: bytes, min_words: int = MIN_WORDS) -> list[tuple[int, bytes, int, int]]:
-    """(fingerprint, content hash, first line, last line) of the shortest windows that reach min_words."""
+def fingerprints(data: bytes, min_words: int = MIN_WORDS) -> list[tuple[int, int, list[bytes], list[int], list[int]]]:
+    """(hash, line, and per window that selected it: content hash, first line, last line) of every selected line."""
     at, digest, words = [], [], []
     for i, line in enumerate(data.split(b"\n")):
         n = len(line.split())
@@ -54,47 +62,72 @@ def windows(data: bytes, min_words: int = MIN_WORDS) -> list[tuple[int, bytes, i
         k = bisect_right(total, total[i + 1] - min_words) - 1
         if k >= 0:
             found.add((k, i))
-    out = []
+    out: dict[int, tuple] = {}
     for i, j in sorted(found):
         part = digest[i : j + 1]
-        low = min(part)
-        out.append((int.from_bytes(low[:8], "big", signed=True), xxhash.xxh3_128_digest(b"".join(part)), at[i], at[j]))
-    return out
+        k = i + part.index(min(part))
+        if k not in out:
+            out[k] = (int.from_bytes(digest[k][:8], "big", signed=True), at[k], [], [], [])
+        _, _, wins, firsts, lasts = out[k]
+        wins.append(xxhash.xxh3_128_digest(b"".join(part)))
+        firsts.append(at[i])
+        lasts.append(at[j])
+    return list(out.values())
 
 
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in WINDOWS.split(", ")]
+def _select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in FINGERPRINTS.split(", ")]
 
     def frame(rows):
         out = pd.DataFrame(rows, columns=names, dtype=object)
-        return out.astype({"doc_id": "Int64", "text_hash": "int64", "fp": "int64", "first": "int32", "last": "int32"})
+        return out.astype({"doc_id": "Int64", "text_hash": "int64", "fp": "int64", "line": "int32"})
 
     for b in batches:
         rows = []
         for i, h, data in zip(b.doc_id, b.text_hash, b.data):
-            rows += [(i, h, *w) for w in windows(data)]
-            if len(rows) > 100_000:
+            rows += [(i, h, *x) for x in fingerprints(data)]
+            if len(rows) > 50_000:
                 yield frame(rows)
                 rows = []
         if rows:
             yield frame(rows)
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, first, last, first_doc_id, first_line: later windows and the first place of their content."""
+def selected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The fingerprints of all documents with their windows."""
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(text_col).alias("text_hash"),
         F.col(text_col).cast("binary").alias("data"),
     )
-    found = scratch.stage(rows.mapInPandas(_windows, WINDOWS), "windows")
-    shared = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    matched = found.join(shared, "fp", "left_semi")
+    return rows.mapInPandas(_select, FINGERPRINTS)
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, first, last, first_doc_id, first_line: the maximal later runs, and the first of the places that
+    hold part of each."""
+    found = scratch.stage(selected(docs, id_col, text_col), "fingerprints")
+    # Equal rows (a document that is there twice) are one place.
+    counted = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    matched = found.join(scratch.broadcast_if_small(counted, "shared"), "fp", "left_semi")
+    around = matched.select("doc_id", "text_hash", F.explode(F.arrays_zip("wins", "firsts", "lasts")).alias("w")).select(
+        "doc_id", "text_hash", F.col("w.wins").alias("win"), F.col("w.firsts").alias("first"), F.col("w.lasts").alias("last")
+    )
     place = F.struct("doc_id", "text_hash", "first", "last")
-    heads = matched.groupBy("win").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head != tail")
+    heads = around.groupBy("win").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head != tail")
+    heads = scratch.broadcast_if_small(heads.select("win", "head"), "heads")
     same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
-    later = matched.join(heads.select("win", "head"), "win").where(~same | (F.col("first") > F.col("head.last")))
-    return later.select(
+    later = around.join(heads, "win").where(~same | (F.col("first") > F.col("head.last")))
+    # Windows that overlap are one run. A document has at most two windows per line, and its repeated rows are told once.
+    windows = later.groupBy("doc_id", "text_hash", "first", "last").agg(F.min("head").alias("head"))
+    order = W.partitionBy("doc_id", "text_hash").orderBy("first", "last")
+    before = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    windows = windows.withColumn("new", F.coalesce(F.col("first") > before, F.lit(True)).cast("int"))
+    runs = windows.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc_id", "text_hash", "run").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.min("head").alias("head")
+    )
+    return runs.select(
         "doc_id", "text_hash", "first", "last", F.col("head.doc_id").alias("first_doc_id"), F.col("head.first").alias("first_line")
     )
 
@@ -116,11 +149,12 @@ def cut_udf(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
 def _cut(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """docs with one more column, and its name: the text without later repeats, null where nothing goes."""
     p = prefix(docs)
-    runs = repeated_runs(docs, id_col, text_col).distinct()
+    runs = scratch.stage(repeated_runs(docs, id_col, text_col), "runs")
     by_doc = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     by_doc = by_doc.select(*(F.col(c).alias(p + c) for c in by_doc.columns))
     same = F.col(id_col).eqNullSafe(F.col(f"{p}doc_id")) & (F.xxhash64(text_col) == F.col(f"{p}text_hash"))
-    keyed = docs.join(by_doc, same, "left")
+    # The count of runs bounds the arrays too.
+    keyed = docs.join(F.broadcast(by_doc) if runs.count() <= scratch.SMALL_ROWS else by_doc, same, "left")
     old = F.when(F.col(f"{p}runs").isNotNull(), F.col(text_col))
     empty = F.array().cast("array<int>")
     bounds = [F.coalesce(F.col(f"{p}runs.{c}"), empty) for c in ("first", "last")]

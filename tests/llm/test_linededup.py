@@ -60,3 +60,31 @@ def test_edge_rows(spark):
     assert [x for x in got if x[0] == 2] == [(2, "own line", "en", "s", 8)]
     assert not [x for x in got if x[0] in (5, 6)] and len(got) == 6
     assert linededup.apply(df.limit(0)).count() == 0
+
+
+def test_fingerprints_are_few_and_decide(spark):
+    """Far fewer selected lines than lines; every repeated run shares one, and without shared ones nothing is found."""
+    r = random.Random(8)
+    lines = [" ".join(r.choices(["alpha", "beta", "gamma", "delta", str(k)], k=8)) for k in range(400)]
+    data = "\n".join(lines).encode()
+    found = linededup.fingerprints(data)
+    assert len(found) < 0.4 * len(lines) and len({f[1] for f in found}) == len(found)
+    assert all(f[3][k] <= f[1] <= f[4][k] for f in found for k in range(len(f[2])))
+    other = "\n".join(["own line", *lines[100:140], "another"]).encode()
+    assert {f[0] for f in linededup.fingerprints(other)} & {f[0] for f in found}
+    df = spark.createDataFrame([(1, data.decode()), (2, other.decode())], "doc_id long, text string")
+    runs = linededup.repeated_runs(df).collect()
+    assert [(x.doc_id, x.first, x.last, x.first_doc_id, x.first_line) for x in runs] == [(2, 1, 40, 1, 100)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    n_lines = sum(len([x for x in (t or "").split("\n") if x.strip()]) for t, in docs.select("text").collect())
+    assert linededup.selected(docs).count() < 0.7 * n_lines
+
+
+def test_shuffled_joins_give_the_same(spark, monkeypatch):
+    docs = random_docs(random.Random(12))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    texts = lambda: sorted(map(tuple, linededup.apply(df).collect()))
+    want = texts()
+    monkeypatch.setattr(linededup.scratch.broadcast_if_small, "__defaults__", (0,))
+    monkeypatch.setattr(linededup.scratch, "SMALL_ROWS", 0)
+    assert texts() == want
