@@ -1,30 +1,34 @@
-"""Main text of web pages by nearest-URL page differencing.
-
-1. A page becomes text lines, one per block element, with character references decoded and white space collapsed. Lines
-   of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are boilerplate by
-   their markup. Each line also knows whether an article or main element encloses it.
-2. Pages are sorted by (host, path, id) and dealt by ranges, so a host of any size spreads over many tasks. A page's
-   partner is whichever neighbour within the same host shares the longer path prefix (the earlier one on a tie).
-3. The lines of page and partner are aligned by longest common subsequence; boilerplate lines align by the kind of their
-   block, for their words differ from page to page. Shared lines are deleted, and boilerplate that no partner confirms
-   goes as well. Lines inside an article or main element are the page's own text even if a copy of it stands next door,
-   so they stay unless they consist of links alone; where such an element has text, other lines go.
-
-The first and the last page of a range have their inner neighbour only. A page without a partner keeps step 1. Nulls: null html is empty and gives an empty text; a null URL is an empty one.
-Repeated rows each get a row.
+"""Main text of web pages by nearest-URL page differencing, with markup as the hint that aligns boilerplate.
+
+1. Pages are sorted by (host, path, id, URL, page) and dealt by ranges of that order, so a host of any size spreads over
+   many tasks. A page's partner is whichever neighbour within the same host shares the longer path prefix (the earlier one
+   on a tie). The first and the last two pages of each range also go on in a table of their own, at most four rows per
+   range, in which the pages at the edges find their neighbours beyond; so the partner does not depend on the ranges.
+2. A page becomes text lines, one per block element, with character references decoded and white space collapsed. Lines
+   of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are marked as
+   boilerplate. Each line also knows whether an article or main element encloses it.
+3. The lines of page and partner are aligned by longest common subsequence; marked lines align by the kind of their
+   block, for their words differ from page to page. Shared lines are deleted, and marked ones that no partner confirms go
+   as well. Lines inside an article or main element are the page's own text even if a copy of it stands next door, so
+   they stay unless they consist of links alone; where such an element has text, other lines go.
+
+A page without a partner on its host keeps its unmarked lines. Nulls: null html is empty and gives an empty text; a null
+URL is an empty one; a null id is kept. Ties in the order are equal pages. Repeated rows each get a row. An empty table
+gives no rows. Very long pages are read in one pass and aligned in memory linear in their lines. Only the id, URL and html
+columns are read, whatever others are called.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
-from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 # Element names.
@@ -228,70 +232,109 @@ def _closeness(a: str, b: str) -> int:
     return n
 
 
-def host_path(url: str | None) -> tuple[str, str]:
-    try:
-        parts = urlsplit(url or "")
-    except ValueError:
-        return "", url or ""
-    return (parts.netloc or "").lower(), parts.path or "/"
+def host_path(url: Column) -> tuple[Column, Column]:
+    """Host (lower case) and path of a URL; empty and ``/`` where there is none."""
+    url = F.coalesce(url, F.lit(""))
+    rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "")
+    host = F.lower(F.regexp_extract(rest, r"^//([^/?#]*)", 1))
+    path = F.regexp_extract(rest, r"^(?://[^/?#]*)?([^?#]*)", 1)
+    return host, F.when(path == "", F.lit("/")).otherwise(path)
 
 
-LINES = T.StructType(
-    [
-        T.StructField("host", T.StringType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("text", T.ArrayType(T.StringType())),
-        T.StructField("kind", T.ArrayType(T.StringType())),
-        T.StructField("flags", T.ArrayType(T.IntegerType())),
-    ]
-)
+#: Ranges per shuffle partition, and sampled rows per range, from which the bounds come.
+RANGES, SAMPLED = 8, 4
+PAGE = ("page_id", "url", "host", "path", "digest", "html")
+
 
+def _texts(pages: list[tuple]) -> Iterator[tuple]:
+    """(page, text) of consecutive pages but the first and the last; a page is None or (host, path, lines, ...)."""
+    for before, now, after in zip(pages, pages[1:], pages[2:]):
+        mates = [x for x in (before, after) if x is not None and x[0] == now[0]]
+        mate = max(mates, key=lambda x: _closeness(x[1], now[1]), default=None)
+        yield now, main_text(now[2], mate and mate[2])
 
-@F.pandas_udf(LINES)
-def lines_udf(urls: pd.Series, pages: pd.Series) -> pd.DataFrame:
-    rows = []
-    for url, page in zip(urls, pages):
-        found = lines_of(page)
-        rows.append(
-            (*host_path(url), [x[0] for x in found], [x[1] or "" for x in found], [x[2] + 2 * x[3] for x in found])
-        )
-    return pd.DataFrame(rows, columns=LINES.names)
 
+def _inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """page_id, url, text of all pages of the ranges but their first and last ones. Three pages are held at a time."""
+    seen, number = [], None
+    for b in batches:
+        rows = []
+        for n, i, url, host, path, page in zip(b.range_no, b.page_id, b.url, b.host, b.path, b.html):
+            if n != number:
+                seen, number = [], n
+            seen = [*seen[-2:], (host, path, lines_of(page), i, url)]
+            rows += [(now[3], now[4], text) for now, text in _texts(seen)]
+        if rows:
+            yield pd.DataFrame(rows, columns=["page_id", "url", "text"], dtype=object).astype({"page_id": "Int64"})
 
-def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in (host, path) order; three pages are held at a time besides the batch."""
-    before = now = None
 
-    def text(before, now, after):
-        mates = [x for x in (before, after) if x is not None and x[1] == now[1]]
-        mate = max(mates, key=lambda x: _closeness(x[2], now[2]), default=None)
-        return now[0], now[4], main_text(now[3], mate and mate[3])
+def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first and the last two pages of each range; ``edge`` marks the very first and last."""
 
-    def frame(rows):
-        out = pd.DataFrame(rows, columns=["page_id", "url", "text"], dtype=object)
-        out["page_id"] = out["page_id"].astype("Int64")
-        return out
+    def frame(held):
+        out = [[*row, at in (0, len(held) - 1)] for at, row in enumerate(held)]
+        return pd.DataFrame(out, columns=[*PAGE, "edge"], dtype=object).astype({"page_id": "Int64", "digest": "Int64"})
 
+    held, number = [], None
     for b in batches:
-        rows = []
-        for i, host, path, texts, kinds, flags, url in zip(*(b[c] for c in ("page_id", "host", "path", "text", "kind", "flags", "url"))):
-            lines = [(t, k or None, bool(f & 1), bool(f & 2)) for t, k, f in zip(texts, kinds, flags)]
-            after = (i, host, path, lines, url)
-            if now is not None:
-                rows.append(text(before, now, after))
-            before, now = now, after
-        if rows:
-            yield frame(rows)
-    if now is not None:
-        yield frame([text(before, now, None)])
+        for n, *row in zip(b.range_no, *(b[c] for c in PAGE)):
+            if n != number and held:
+                yield frame(held)
+                held = []
+            number = n
+            # Beyond four, a new last page takes the place of the last but one.
+            held = [*held[:2], held[3], row] if len(held) == 4 else [*held, row]
+    if held:
+        yield frame(held)
+
+
+@F.pandas_udf(T.StringType())
+def _edge_text(host: pd.Series, path: pd.Series, html: pd.Series, beside: pd.DataFrame) -> pd.Series:
+    out = []
+    for h, p, page, (bh, bp, b, ah, ap, a) in zip(host, path, html, beside.itertuples(index=False)):
+        before, after = (None if x is None else (x, y, lines_of(z)) for x, y, z in ((bh, bp, b), (ah, ap, a)))
+        out += [text for _, text in _texts([before, (h, p, lines_of(page)), after])]
+    return pd.Series(out, dtype=object)
+
+
+def _bounds(rows: DataFrame, ranges: int) -> list[tuple]:
+    """(host, path, id) that divide the pages into about as many ranges, from a sample; any bounds give the same texts."""
+    keys = rows.select("host", "path", "page_id")
+    n = keys.count()
+    if n <= 2 * ranges or ranges < 2:
+        return []
+    some = keys.sample(min(1.0, SAMPLED * ranges / n), seed=1).collect()
+    some = sorted((r.host, r.path, -(1 << 63) if r.page_id is None else r.page_id) for r in some)
+    return sorted({some[len(some) * k // ranges] for k in range(1, ranges)}) if some else []
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text for every row of pages."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    found = rows.select("page_id", "url", lines_udf("url", "html").alias("p")).select("page_id", "url", "p.*")
-    dealt = found.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url")
-    return dealt.mapInPandas(_difference, "page_id long, url string, text string")
+    host, path = host_path(F.col(url_col))
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"),
+        F.xxhash64(html_col).alias("digest"), F.col(html_col).alias("html"),
+    )
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _bounds(rows, RANGES * parts)
+
+    @F.pandas_udf(T.IntegerType())
+    def range_no(hosts: pd.Series, paths: pd.Series, ids: pd.Series) -> pd.Series:
+        ids = ids.astype(object).where(ids.notna(), -(1 << 63))
+        return pd.Series([bisect_right(bounds, x) for x in zip(hosts, paths, ids)], dtype="int32")
+
+    order = ["host", "path", "page_id", "url", "digest"]
+    dealt = rows.withColumn("range_no", range_no("host", "path", "page_id")).repartition(parts, "range_no")
+    dealt = dealt.sortWithinPartitions("range_no", *order)
+    inner = dealt.mapInPandas(_inner, "page_id long, url string, text string")
+    page = "page_id long, url string, host string, path string, digest long, html string, edge boolean"
+    # Both reads of the dealt pages share one shuffle. At most four pages per range, whatever a host has.
+    ends = dealt.mapInPandas(_ends, page)
+    by = W.partitionBy("host").orderBy(*order)
+    names = [(f, n, c) for f, n in ((F.lag, "before"), (F.lead, "after")) for c in ("host", "path", "html")]
+    sides = ends.select("*", *(f(c).over(by).alias(f"{n}_{c}") for f, n, c in names)).where("edge")
+    beside = F.struct(*(f"{n}_{c}" for _, n, c in names))
+    return inner.union(sides.select("page_id", "url", _edge_text("host", "path", "html", beside).alias("text")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
