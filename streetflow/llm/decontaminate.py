@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from streetflow.llm import scratch
 from streetflow.llm.names import prefix
 
 # The masks.
@@ -142,7 +143,7 @@ def apply(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """docs without those that leak. A row without id goes if any row without id leaks."""
     bad = prefix(docs) + "bad"
     found = find_leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias(bad)).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col(bad)), "left_anti")
+    return docs.join(scratch.broadcast_if_small(found, "leaks"), F.col(id_col).eqNullSafe(F.col(bad)), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from streetflow.llm import decontaminate, html, langid, licenses, linededup, lm, mixing, png, simhash, warc
+from streetflow.llm import decontaminate, html, langid, licenses, linededup, lm, mixing, pipeline, png, simhash, warc
 
 
 def queries() -> dict:
@@ -18,7 +17,7 @@ def queries() -> dict:
         "op8_language_id": langid.query,
         "op9_png_media": png.query,
         "op10_mix_sources": mixing.query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

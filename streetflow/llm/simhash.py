@@ -14,7 +14,9 @@ probing the masks of up to three bits in a table of that size, in time linear in
 instead of all pairs. Work per fingerprint is bounded, and no link is lost.
 
 Nulls: a null text is empty. A text without words has fingerprint zero and links like any other. A null id takes part,
-but a component's id is the smallest id that is not null. Repeated rows each get a row.
+but a component's id is the smallest id that is not null. Repeated rows each get a row. Ties cannot occur: a bit set in
+exactly half of the hashes is 0. An empty table gives no rows. Very long texts are hashed in pieces of bounded memory.
+Only the id and text columns are read, and ``keep_one`` passes others through, whatever their names.
 """
 
 from __future__ import annotations
@@ -252,27 +254,46 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp (signed), component_id (the smallest id that links reach, its own included)."""
     fps, roots = _classes(docs, id_col, text_col)
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    grouped = distinct.join(roots, "fp")
-    lows = grouped.groupBy("root").agg(F.min("low").alias("component"))
-    named = scratch.stage(grouped.join(lows, "root").select("fp", "component"), "classes")
-    of = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    # A fingerprint that is there once and links to nothing is its document's own component.
+    classed = distinct.join(roots, "fp", "left").where("n > 1 or root is not null")
+    classed = scratch.stage(classed.select("fp", "low", F.coalesce("root", "fp").alias("root")), "classed")
+    lows = classed.groupBy("root").agg(F.min("low").alias("component"))
+    named = scratch.broadcast_if_small(classed.join(lows, "root").select("fp", "component"), "classes")
+    joined = fps.select("doc_id", "fp").join(named.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of"), "left")
+    return joined.select("doc_id", "fp", F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes=_classes) -> DataFrame:
-    """docs with one row of each component: that of the smallest id that is not null, then of the smallest text hash."""
+    """docs with one row of each component: that of the smallest id that is not null, then of the smallest text hash.
+
+    What travels to the texts are the ids and hashes of rows that go, and of rows that are there more than once; they are
+    broadcast while they are few (counted).
+    """
     fps, roots = classes(docs, id_col, text_col)
     p = prefix(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     # By fingerprint first, so that a group of a million copies joins as one row.
-    by_fp = fps.groupBy("fp").agg(first).join(roots, "fp", "left")
-    kept = by_fp.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = scratch.stage(kept.select(F.col("first.doc_id").alias(f"{p}id"), F.col("first.text_hash").alias(f"{p}hash")), "kept")
+    by_fp = scratch.stage(fps.groupBy("fp").agg(first, F.count("*").alias("n")).join(roots, "fp", "left"), "by_fp")
+    kept = by_fp.where("root is not null").groupBy("root").agg(F.min("first").alias("best"))
+    best = by_fp.where("root is null and n > 1").select("fp", F.col("first").alias("best"))
+    best = best.union(by_fp.where("root is not null").join(kept, "root").select("fp", "best"))
+    # Rows of fingerprints that are there once and link to nothing stay without a decision.
+    rows = fps.join(scratch.broadcast_if_small(best, "best"), "fp")
+    told = rows.groupBy("doc_id", "text_hash").agg(
+        F.first(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))).alias("stays"),
+        F.count("*").alias("n"),
+    ).where("not stays or n > 1")
+    told = told.select(F.col("doc_id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}hash"), F.col("stays").alias(f"{p}stays"))
+    told = scratch.broadcast_if_small(told, "told")
     same = F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(text_col) == F.col(f"{p}hash"))
-    rows = docs.join(kept, same)
-    again = W.partitionBy(f"{p}id", f"{p}hash").orderBy(F.lit(1))
-    return rows.withColumn(f"{p}n", F.row_number().over(again)).where(f"{p}n = 1").select(docs.columns)
+    decided = docs.join(told, same, "left")
+    out = decided.where(F.col(f"{p}hash").isNull()).select(docs.columns)
+    if told.where(f"{p}stays").limit(1).count():
+        again = W.partitionBy(f"{p}id", f"{p}hash").orderBy(F.lit(1))
+        several = decided.where(f"{p}stays").withColumn(f"{p}n", F.row_number().over(again)).where(f"{p}n = 1")
+        out = out.union(several.select(docs.columns))
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -100,3 +100,20 @@ def test_top_bit_counts_like_any_other(spark, n):
     got = simhash.connected_components(simhash.links(df), "a", "b").collect()
     want = plain_components({x: x % (1 << 64) for x in fps})
     assert {x.node: x.root for x in got} == {k: v for k, v in want.items() if list(want.values()).count(v) > 1}
+
+
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch):
+    from streetflow.llm import components
+
+    r = random.Random(6)
+    edges = [(r.randrange(-200, 200), r.randrange(-200, 200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    low = {}
+    for a, b in edges:
+        if a != b:
+            group = low.get(a, {a}) | low.get(b, {b})
+            low.update(dict.fromkeys(group, group))
+    want = sorted((i, min(g)) for i, g in low.items())
+    for small in (components.SMALL_EDGES, 0):
+        monkeypatch.setattr(components, "SMALL_EDGES", small)
+        assert sorted(map(tuple, components.connected_components(df, "a", "b").collect())) == want
