@@ -1,69 +1,5 @@
-"""The corpus pipeline: five stages from raw documents to a training mixture.
+"""The corpus pipeline: ``STAGES``, ``run`` and ``ORACLE_SQL``, as ``streetflow.llm.pipeline`` defines them."""
 
-Each stage takes all that its predecessor kept and is written as Parquet before the next one reads it. Stages one to four
-return the columns of documents; the last adds domain, n_words and epochs.
+from streetflow.llm.pipeline import ORACLE_SQL, STAGES, run
 
-* language_id drops documents without letters (null and empty texts among them) and those whose best language has a
-  probability under ``MIN_SCORE``.
-* line_dedup deletes repeated runs of lines and drops documents of which nothing stays.
-* near_dedup keeps one document of each component of texts whose sets of five-word shingles have a Jaccard similarity of
-  0.8 or more.
-* decontaminate drops documents that hold part of a benchmark item.
-* mix_sources selects documents, and how often each is read, by target weights.
-
-An empty documents table gives an empty result. Rows with null ids are kept like others; see the operators for ties.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from streetflow.llm import decontaminate, langid, linededup, minhash, mixing, scratch, simhash
-from streetflow.llm.names import prefix
-
-MIN_SCORE = 0.3
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.fit(docs)
-    p = prefix(docs)
-    told = langid.predict(docs, model, out=f"{p}language")
-    return told.where((F.col(f"{p}language.lang_pred") != "und") & (F.col(f"{p}language.score") >= MIN_SCORE)).select(docs.columns)
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.apply(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, classes=minhash.classes)
-
-
-def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.apply(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id),
-    ("line_dedup", line_dedup),
-    ("near_dedup", near_dedup),
-    ("decontaminate", decontaminate_benchmark),
-    ("mix_sources", mix_sources),
-]
-
-#: Fingerprints and language models have no SQL form; tests/llm/test_pipeline.py holds run() against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.stage(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
