@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -57,22 +59,22 @@ def proposal(offset, time, length, step):
 
 def step_search(paths: DataFrame, observed: DataFrame, times: DataFrame) -> DataFrame:
     """(step_no, step, error, accepted): the error of all candidate steps in one job; the largest that helps is accepted."""
-    spark = paths.sparkSession
     sizes, step = [], kernels.STEP
     while step > kernels.LEAST:
-        sizes.append((len(sizes), step))
+        sizes.append(step)
         step *= kernels.SHRINK
-    steps = F.broadcast(spark.createDataFrame(sizes, "step_no long, step double"))
     obs = observations(paths, observed, times)
-    now = obs.agg(F.sum(F.abs(F.col("est_time") - F.col("true_time"))).alias("now"))
     off = link_offsets(paths, obs).select(*PAIR, "offset")
-    trial = times.join(off, PAIR).crossJoin(steps)
-    trial = trial.select(*PAIR, "step_no", "step", proposal(F.col("offset"), F.col("time"), F.col("street_length"), F.col("step")).alias("p"))
-    est = paths.join(trial, PAIR).groupBy("trip_id", "step_no", "step").agg(F.sum("p").alias("est"))
-    err = observed.join(est, "trip_id").groupBy("step_no", "step").agg(F.sum(F.abs(F.col("est") - F.col("true_time"))).alias("error"))
-    better = err.crossJoin(F.broadcast(now)).withColumn("better", F.col("error") < F.col("now"))
-    first = better.agg(F.min(F.when(F.col("better"), F.col("step_no"))).alias("first"))
-    return better.crossJoin(F.broadcast(first)).select(
+    # One row per link and per trip: the candidates are columns, so they multiply no rows before a shuffle.
+    tried = [proposal(F.col("offset"), F.col("time"), F.col("street_length"), F.lit(x)).alias(f"p{k}") for k, x in enumerate(sizes)]
+    trial = times.join(off, PAIR).select(*PAIR, *tried)
+    guess = paths.join(trial, PAIR).groupBy("trip_id").agg(*(F.sum(f"p{k}").alias(f"p{k}") for k in range(len(sizes))))
+    now = obs.agg(F.sum(F.abs(F.col("est_time") - F.col("true_time"))).alias("now"))
+    error = observed.join(guess, "trip_id").agg(*(F.sum(F.abs(F.col(f"p{k}") - F.col("true_time"))).alias(f"e{k}") for k in range(len(sizes))))
+    rows = F.array(*(F.struct(F.lit(k).cast("long").alias("step_no"), F.lit(x).alias("step"), F.col(f"e{k}").alias("error")) for k, x in enumerate(sizes)))
+    told = error.crossJoin(F.broadcast(now)).select("now", F.explode(rows).alias("x")).select("now", "x.*").where("error is not null")
+    first = F.min(F.when(F.col("error") < F.col("now"), F.col("step_no"))).over(W.partitionBy())
+    return told.withColumn("first", first).select(
         "step_no", "step", "error", F.coalesce(F.col("step_no") == F.col("first"), F.lit(False)).alias("accepted")
     )
 
@@ -91,15 +93,17 @@ def _observed(pdf: pd.DataFrame, g: kernels.Graph) -> kernels.Observed:
 def estimate_by(collapsed: DataFrame, key: str, g: kernels.Graph, max_iter: int = 20, scheme=None, relative: bool = False) -> DataFrame:
     """(key, begin_node_id, end_node_id, time, num_trips, error): link times of every slice, estimated where it lies.
 
-    A slice that fails gives one row with its error instead of ending the job.
+    A slice that fails gives one row with its error instead of ending the job. A column ``mean_speed`` of collapsed (metres
+    a second, over all trips that the slice has, matched or not) is where the estimate starts.
     """
-    shared = collapsed.sparkSession.sparkContext.broadcast(g.raw())
+    shared, number = collapsed.sparkSession.sparkContext.broadcast(g.raw()), uuid4().hex
     columns = [key, *PAIR, "time", "num_trips", "mean_abs_first", "mean_abs_last", "error"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, name = kernels.Graph(*shared.value), pdf[key].iloc[0]
+        g, name = kernels.cached_graph(number, shared.value), pdf[key].iloc[0]
         try:
-            time, counts, train, _ = kernels.estimate(g, _observed(pdf, g), max_iter, scheme, relative=relative)
+            start = pdf["mean_speed"].iloc[0] if "mean_speed" in pdf else None
+            time, counts, train, _ = kernels.estimate(g, _observed(pdf, g), max_iter, scheme, relative=relative, speed=start)
         except Exception as e:  # noqa: BLE001
             return pd.DataFrame([(name, None, None, None, None, None, None, str(e)[:200])], columns=columns)
         first, last = (train[0][0], train[-1][0]) if train else (None, None)
@@ -115,9 +119,15 @@ def estimate_by(collapsed: DataFrame, key: str, g: kernels.Graph, max_iter: int
 
 def folds(trips: DataFrame, k: int, key: str = "trip_id", seed: int = 0) -> DataFrame:
     """trips with fold: position in a seeded order, cut at floor(n * f / k)."""
-    order = W.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
-    n = trips.agg(F.count("*").alias("n"))
-    placed = trips.withColumn("at", (F.row_number().over(order) - 1).cast("long")).crossJoin(F.broadcast(n))
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    rows = trips.withColumn("__place", place).withColumn("__part", F.substring("__place", 1, 3))
+    # The 4096 prefixes are counted; a row's position is the count of smaller ones plus its rank inside its own.
+    sums = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select("__part", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__n").over(W.partitionBy()).alias("n"))
+    own = F.row_number().over(W.partitionBy("__part").orderBy("__place", key)) - 1
+    placed = rows.withColumn("__own", own).join(F.broadcast(sums), "__part")
+    placed = placed.withColumn("at", (F.col("__before") + F.col("__own")).cast("long")).drop("__place", "__part", "__own", "__before")
     # The fold f with floor(n f / k) <= at < floor(n (f + 1) / k).
     fold = F.floor((F.col("at") * k + k - 1) / F.col("n"))
     fold = F.when(F.floor(F.col("n") * fold / k) > F.col("at"), fold - 1).otherwise(fold)
@@ -134,11 +144,11 @@ def cross_validate(trips: DataFrame, g: kernels.Graph, k: int, max_iter: int, si
     spark = trips.sparkSession
     variants = [(f"size {s}", s, None) for s in sizes or []] + [(n, 1.0, n) for n in schemes or {}] or [("all", 1.0, None)]
     jobs = spark.createDataFrame([(v, float(s), n, f) for v, s, n in variants for f in range(k)], "variant string, share double, scheme string, test_fold long")
-    shared = spark.sparkContext.broadcast((g.raw(), schemes or {}))
+    shared, number = spark.sparkContext.broadcast((g.raw(), schemes or {})), uuid4().hex
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         raw, named = shared.value
-        g = kernels.Graph(*raw)
+        g = kernels.cached_graph(number, raw)
         first = pdf.iloc[0]
 
         def collapsed(part):
@@ -148,7 +158,9 @@ def cross_validate(trips: DataFrame, g: kernels.Graph, k: int, max_iter: int, si
         test = pdf[pdf["fold"] == first["test_fold"]]
         train = pdf[pdf["fold"] != first["test_fold"]].sort_values("at")
         train = train.head(max(1, int(len(train) * first["share"])))
-        _, _, a, b = kernels.estimate(g, collapsed(train), max_iter, named.get(first["scheme"]), test=collapsed(test))
+        seconds = float(train["duration_s"].sum())
+        start = float(train["dist_m"].sum()) / seconds if seconds > 0 else None
+        _, _, a, b = kernels.estimate(g, collapsed(train), max_iter, named.get(first["scheme"]), test=collapsed(test), speed=start)
         return pd.DataFrame(
             {"variant": first["variant"], "fold": first["test_fold"], "iteration": np.arange(len(a)),
              "train_abs": [x[0] for x in a], "test_abs": [x[0] for x in b], "train_rel": [x[1] for x in a], "test_rel": [x[1] for x in b]}

@@ -10,11 +10,11 @@ from streetflow.functions import flags as hexflags
 from streetflow.functions import geo
 from streetflow.functions import trips as trip
 from streetflow.operators import estimate as est
-from streetflow.operators import graph, legacy, network, partition, regions, routing
+from streetflow.operators import graph, labels, legacy, network, partition, regions, routing
 from streetflow.operators import nearest
 from streetflow.plans.cut import rounded
 from streetflow.plans.fixtures import Fixtures, oracle
-from streetflow.sources import store
+from streetflow.sources import store, tables
 
 REGISTRY: dict[str, tuple[Callable[[Fixtures], DataFrame], str | None]] = {}
 PAIR = network.ENDS
@@ -546,6 +546,79 @@ def _(fx):
     return out.withColumn("region_id", F.col("region_id").cast("long"))
 
 
+STORED = """(select begin_node_id, end_node_id, string_agg(substr('0123456789abcdef', cast(v + 1 as int), 1), '' order by h) as arc_flag_forward,
+  string_agg(substr('0123456789abcdef', cast(w + 1 as int), 1), '' order by h) as arc_flag_backward
+  from (select begin_node_id, end_node_id, p // 4 as h, sum(f << cast(3 - p % 4 as int)) as v, sum(g << cast(3 - p % 4 as int)) as w
+        from (select begin_node_id, end_node_id, p, cast((begin_node_id * (p + 3) + end_node_id) % 97 = 0 as int) as f,
+              cast((begin_node_id + end_node_id * (p + 5)) % 89 = 0 as int) as g from road_links_raw, range(16) r(p)) b group by all) d
+  group by all having sum(v) + sum(w) > 0)"""
+
+
+def stored_flags(fx):
+    p, a, b = F.sequence(F.lit(0), F.lit(15)), F.col(PAIR[0]), F.col(PAIR[1])
+    forward = F.transform(p, lambda x: ((a * (x + 3) + b) % 97 == 0).cast("int"))
+    backward = F.transform(p, lambda x: ((a + b * (x + 5)) % 89 == 0).cast("int"))
+    f = fx["road_links_raw"].select(*PAIR, F.lit("2012-03-05 09:00:00").alias("slice"), forward.alias("forward"), backward.alias("backward"))
+    return tables.arc_flag_rows(f)
+
+
+@query("arc_flag_rows", f"select begin_node_id, end_node_id, '2012-03-05 09:00:00' as slice, arc_flag_forward, arc_flag_backward from {STORED} s union all select cast(0 as bigint), cast(0 as bigint), '2012-03-05 09:00:00', '0', '0'")
+def _(fx):
+    return stored_flags(fx)
+
+
+@query(
+    "arc_flag_links",
+    """select begin_node_id, end_node_id, cast(sum(cast((begin_node_id * (p + 3) + end_node_id) % 97 = 0 as int) << cast(p as int)) as bigint) as forward,
+ cast(sum(cast((begin_node_id + end_node_id * (p + 5)) % 89 = 0 as int) << cast(p as int)) as bigint) as backward from road_links_raw, range(16) r(p) group by all""",
+)
+def _(fx):
+    """Flags stored, loaded onto the links, and read as numbers."""
+    links = tables.apply_arc_flags(fx["road_links_raw"].select(*PAIR), stored_flags(fx), 16)
+    number = lambda c: sum((F.shiftleft(F.get(c, F.lit(k)), k) for k in range(1, 16)), F.get(c, F.lit(0))).cast("long").alias(c)
+    return links.select(*PAIR, number("forward"), number("backward"))
+
+
+@query("region_flags", "select begin_node_id, end_node_id, cast((begin_node_id * 10 + end_node_id) % 97 = 0 as int) + 0e0 as pace from road_links_raw")
+def _(fx):
+    return tables.region_flags(tables.apply_arc_flags(fx["road_links_raw"].select(*PAIR), stored_flags(fx), 16), 7)
+
+
+@query("speed_rows", "select begin_node_id, end_node_id, street_length as length, round(street_length / (street_length / 10), 6) as speed, round(street_length / 10, 6) as time from road_links_raw")
+def _(fx):
+    return tables.speed_rows(timed(fx)).select(*PAIR, "length", r6("speed").alias("speed"), r6("time").alias("time"))
+
+
+@query("first_trips", "select trip_id from trips order by pickup_datetime, trip_id limit 100")
+def _(fx):
+    return tables.first_trips(fx["trips"], 100).select("trip_id")
+
+
+@query("scheme_label", "select trip_id, case when trip_id % 4 = 0 then 'none' else case when trip_id % 2 = 0 then 'ABS' else 'REL' end || '_' || case when trip_id % 3 = 0 then 'GAUSS' else 'LASSO' end || '_' || cast(duration_s as varchar) end as label from trips")
+def _(fx):
+    i = F.col("trip_id")
+    kernel = F.when(i % 4 != 0, F.when(i % 3 == 0, "gauss").otherwise("lasso"))
+    return fx["trips"].select("trip_id", labels.scheme_label(F.when(i % 2 == 0, "abs").otherwise("rel"), kernel, F.col("duration_s")).alias("label"))
+
+
+@query("legacy_timestamp", "select trip_id, cast(date_trunc('second', pickup_datetime) as timestamp) as at from trips")
+def _(fx):
+    return fx["trips"].select("trip_id", labels.legacy_timestamp(F.date_format("pickup_datetime", "yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("at"))
+
+
+@query(
+    "compare_paths",
+    """with a as (select trip_id, begin_node_id, end_node_id from path_links), b as (select * from a where (begin_node_id + trip_id) % 3 <> 0)
+select a.trip_id, count(*) as links_one, count(b.trip_id) as links_two, count(b.trip_id) as shared, round(sum(l.street_length / 10), 6) as time_one,
+ round(coalesce(sum(case when b.trip_id is not null then l.street_length / 10 end), 0), 6) as time_two
+from a left join b using (trip_id, begin_node_id, end_node_id) join road_links_raw l using (begin_node_id, end_node_id) group by 1""",
+)
+def _(fx):
+    one = fx["path_links"].select("trip_id", *PAIR).distinct()
+    c = labels.compare_paths(one, one.where("(begin_node_id + trip_id) % 3 <> 0"), timed(fx))
+    return c.select("trip_id", "links_one", "links_two", "shared", r6("time_one").alias("time_one"), r6("time_two").alias("time_two"))
+
+
 @query(
     "zscore_links",
     """with x as (select begin_node_id, end_node_id, slice, travel_time as t, avg(travel_time) over w as m, stddev_pop(travel_time) over w as s
@@ -600,6 +673,23 @@ def _(fx):
     return regions.boundary(fx["road_links_raw"], regions.kd_regions(fx["road_nodes"], 2))
 
 
+@query("tree_height", kd_sql(3) + " select cast(min(length(path)) as bigint) as height from regs")
+def _(fx):
+    return regions.tree_height(regions.kd_regions(fx["road_nodes"], 3))
+
+
+@query("region_of_point", kd_sql(3) + " select node_id as point_id, region_id from regs")
+def _(fx):
+    """The nodes' own coordinates as points: each lies in its node's region."""
+    points = fx["road_nodes"].select(F.col("node_id").alias("point_id"), "lat", "lon")
+    return regions.region_of(points, fx["road_nodes"], 3).select("point_id", "region_id")
+
+
+@query("boundary_numbers", kd_sql(2) + ", c as (select l.*, a.region_id as ra, b.region_id as rb from road_links_raw l join regs a on a.node_id = begin_node_id join regs b on b.node_id = end_node_id), n as (select begin_node_id as node_id, ra as region_id from c where ra <> rb union select end_node_id, rb from c where ra <> rb) select node_id, region_id, row_number() over (partition by region_id order by node_id) - 1 as number from n")
+def _(fx):
+    return regions.number_boundary(regions.boundary(fx["road_links_raw"], regions.kd_regions(fx["road_nodes"], 2)))
+
+
 GRID = "(select node_id, lat, lon, cast(floor((lon - w) / (e - w) * 20) * 20 + floor((lat - s) / (n - s) * 20) as bigint) as region_id from road_nodes, (select min(lat) as s, max(lat) + 0.01e0 as n, min(lon) as w, max(lon) + 0.01e0 as e from road_nodes) x)"
 
 
@@ -866,11 +956,8 @@ def _(fx):
 @query("path_diff_tags", "with a as (select begin_node_id as b, end_node_id as e, begin_node_id % 3 <> 0 as x, end_node_id % 3 <> 0 as y from road_links_raw) select b as begin_node_id, e as end_node_id, cast(case when x and y then 2 when x then 5 when y then -5 else 0 end as bigint) as tag from a")
 def _(fx):
     """2: on both paths, 5: on the first only, -5: on the second only, 0: on none."""
-    one = fx["road_links_raw"].where("begin_node_id % 3 <> 0").select(*PAIR, F.lit(True).alias("x"))
-    two = fx["road_links_raw"].where("end_node_id % 3 <> 0").select(*PAIR, F.lit(True).alias("y"))
-    both = fx["road_links_raw"].join(one, PAIR, "left").join(two, PAIR, "left")
-    x, y = F.col("x").isNotNull(), F.col("y").isNotNull()
-    return both.select(*PAIR, F.when(x & y, 2).when(x, 5).when(y, -5).otherwise(0).cast("long").alias("tag"))
+    one, two = (fx["road_links_raw"].where(f"{c} % 3 <> 0") for c in PAIR)
+    return labels.path_difference(fx["road_links_raw"], one, two).select(*PAIR, "tag")
 
 
 # ---------------------------------------------------------------- estimation
@@ -965,15 +1052,20 @@ def _(fx):
 
 
 def collapsed_by(fx, key, where="true"):
-    """Valid trips matched to nodes and collapsed per key."""
-    t = nearest.match_trips(fx["trips"].where(trip.validity() == 0).where(where), fx["road_nodes"]).where("origin is not null and dest is not null")
-    return t.groupBy(key.alias("slice"), "origin", "dest").agg(
+    """Valid trips matched to nodes and collapsed per key, with the mean speed over all valid trips of the key."""
+    valid = fx["trips"].where(trip.validity() == 0).where(where)
+    t = nearest.match_trips(valid, fx["road_nodes"]).where("origin is not null and dest is not null")
+    c = t.groupBy(key.alias("slice"), "origin", "dest").agg(
         F.min_by("dist_m", "trip_id").alias("dist_m"), F.collect_list("duration_s").alias("dup_times"), F.min("trip_id").alias("trip_id")
     )
+    speeds = valid.groupBy(key.alias("slice")).agg((F.sum("dist_m") / F.nullif(F.sum("duration_s").cast("double"), F.lit(0.0))).alias("mean_speed"))
+    return c.join(speeds, "slice")
 
 
 #: Rounds of the estimation loop unless it stops by itself, as the reference runs it.
 MAX_ITER = 20
+#: Shares of the training set in the learning curve: 18 sizes.
+LEARNING_SIZES = [k / 18 for k in range(1, 19)]
 
 
 def rounded_estimates(df):
@@ -987,7 +1079,7 @@ def _(fx):
 
 @query("estimate_hourly")
 def _(fx):
-    return rounded_estimates(est.estimate_by(collapsed_by(fx, F.date_format("pickup_datetime", "HH")), "slice", road_graph(fx), max_iter=MAX_ITER)).where("num_trips > 0")
+    return rounded_estimates(est.estimate_by(collapsed_by(fx, F.date_format("pickup_datetime", "HH")), "slice", road_graph(fx), max_iter=MAX_ITER)).where("num_trips > 0 or error is not null")
 
 
 @query("estimate_relative")
@@ -1008,7 +1100,7 @@ def _(fx):
 
 @query("learning_curve")
 def _(fx):
-    cv = est.cross_validate(matched_folds(fx, 2), road_graph(fx), 2, MAX_ITER, sizes=[0.25, 0.5, 1.0])
+    cv = est.cross_validate(matched_folds(fx, 2), road_graph(fx), 2, MAX_ITER, sizes=LEARNING_SIZES)
     last = cv.groupBy("variant", "fold").agg(F.max_by(F.struct("train_abs", "test_abs"), "iteration").alias("e"))
     return last.groupBy("variant").agg(F.avg("e.train_abs").alias("train_abs"), F.avg("e.test_abs").alias("test_abs"))
 

@@ -13,6 +13,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="streetflow-")
         atexit.register(shutil.rmtree, where, True)
         spark.sparkContext.setCheckpointDir(where)
