@@ -146,6 +146,10 @@ def cut_udf(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+# The optimizer would copy a deterministic function into the filter on its result, and each text would be cut twice.
+cut_udf = cut_udf.asNondeterministic()
+
+
 def _cut(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """docs with one more column, and its name: the text without later repeats, null where nothing goes."""
     p = prefix(docs)
