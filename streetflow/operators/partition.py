@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from streetflow.plans.cut import cut
 
-#: Graphs up to this many nodes are embedded on the driver; the sparse matrix of larger ones is multiplied in joins.
-DRIVER_NODES = 20_000
+#: Vectors beside the wanted ones, and the residual (as a share of a bound of the eigenvalues) that ends the search.
+SPARE, SETTLED = 4, 1e-6
 
 
 def modularity(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -24,26 +25,48 @@ def modularity(links: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select((F.col("inside") / m - F.col("dd") / (4 * m * m)).alias("modularity"))
 
 
-def spectral_clusters(lap: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """(node, cluster): k-means on the k lowest eigenvectors of a Laplacian (i, j, v).
+def lowest_eigenvectors(i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int, k: int, seed: int = 1) -> np.ndarray:
+    """n x k: eigenvectors of the k lowest eigenvalues of the symmetric part of a sparse n x n matrix (entries i, j, v).
 
-    The embedding of graphs up to ``DRIVER_NODES`` nodes is a dense decomposition; larger ones use orthogonal iteration.
+    A block of vectors goes on inside the span of itself, its residuals and its last move (locally optimal conjugate
+    gradients). Of an eigenvalue that many vectors share, some basis is found, as by any method.
     """
+    i, j, v = np.r_[i, j, np.arange(n)], np.r_[j, i, np.arange(n)], np.r_[v, v, np.zeros(n)] / 2
+    order = np.argsort(i, kind="stable")
+    i, j, v = i[order], j[order], v[order]
+    starts = np.searchsorted(i, np.arange(n))
+    top = float(np.add.reduceat(np.abs(v), starts).max())
+
+    def times(x):
+        return np.stack([np.add.reduceat(v * row[j], starts) for row in x])
+
+    m = min(n, k + SPARE)
+    x, move = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, n if n <= 3 * m else m)))[0].T, np.empty((0, n))
+    while True:
+        y = times(x)
+        value, turn = np.linalg.eigh(x @ y.T)
+        x, y = turn.T @ x, turn.T @ y
+        off = y - value[:, None] * x
+        if len(x) == n or np.abs(off[:k]).max() <= SETTLED * top:
+            return x[:k].T
+        span = np.linalg.qr(np.concatenate([x, off, move]).T)[0].T
+        _, turn = np.linalg.eigh(span @ times(span).T)
+        x, move = turn[:, :m].T @ span, turn[m:, :m].T @ span[m:]
+
+
+def spectral_clusters(lap: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """(node, cluster): k-means on the k lowest eigenvectors of a Laplacian (i, j, v), whose entries go to the driver."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    spark = lap.sparkSession
-    n = lap.select("i").distinct().count()
-    if n > DRIVER_NODES:
-        raise ValueError(f"{n} nodes; more than {DRIVER_NODES} need balanced_partition")
-    rows = lap.toPandas()
-    ids = np.unique(rows["i"].to_numpy())
-    a = np.zeros((len(ids), len(ids)))
-    a[np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])] = rows["v"]
-    _, vectors = np.linalg.eigh((a + a.T) / 2)
-    points = [(int(i), [float(x) for x in v]) for i, v in zip(ids, vectors[:, :k])]
-    df = spark.createDataFrame(points, "node long, e array<double>").withColumn("features", array_to_vector("e"))
-    model = KMeans(k=min(k, max(2, len(points))), seed=seed).fit(df)
+    rows = lap.select("i", "j", "v").toArrow()
+    i, j, v = (rows[c].to_numpy() for c in "ijv")
+    ids = np.unique(i)
+    vectors = lowest_eigenvectors(np.searchsorted(ids, i), np.searchsorted(ids, j), v.astype(float), len(ids), k, seed)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), vectors.shape[1]).cast(pa.list_(pa.float64()))
+    points = pa.table({"node": pa.array(ids.astype(np.int64)), "e": lists})
+    df = lap.sparkSession.createDataFrame(points).withColumn("features", array_to_vector("e"))
+    model = KMeans(k=min(k, max(2, len(ids))), seed=seed).fit(df)
     return model.transform(df).select("node", F.col("prediction").cast("long").alias("cluster"))
 
 
