@@ -219,3 +219,23 @@ def test_subwords_of_many_words_are_those_of_each(monkeypatch):
         parts = np.split(ids, np.cumsum(lens)[:-1])
         assert [p.tolist() for p in parts] == [one(" " + w) for w in words]
     assert [len(x) for x in lm.Subwords(ranks)([])] == [0, 0]
+
+
+def test_every_window_teaches(spark):
+    """A unit gets all ids of the training documents, and the rounds together cut each of their windows once."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(20 * i + 1)) for i in range(9)]
+    df = spark.createDataFrame([(i, i == 4, t.encode()) for i, t in enumerate(texts)], "doc_id long, held boolean, data binary")
+    ranks = lm.read_vocabulary()
+    blocks = scratch.stage(lm.make_blocks(df, ranks), "blocks")
+    want = 0
+    for b in blocks.collect():
+        size = lm.streams(*lm.unpack(b), len(ranks))[3]
+        want += int(size[~np.array(b["held"], bool)].sum())
+    got = 0
+    for u in lm.unit_windows(blocks, len(ranks), 2).collect():
+        target = np.concatenate([lm.unpack_array(x, np.int32) for x in u.ids])
+        ids = lm.cut_windows(target, np.array(u.sizes), np.arange(u.n), len(ranks))
+        places = ids[:, 2 * lm.STEP :] >= 0
+        assert sorted(ids[:, 2 * lm.STEP :][places].tolist()) == sorted(target.tolist())
+        got += int(places.sum())
+    assert got == want
