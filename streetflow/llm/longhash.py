@@ -11,11 +11,13 @@ that agree in all of them are copies.
 3. Verification. Fingerprints at most ``LOOSE`` bits apart, and then the shingle sets themselves: Jaccard similarity of
    ``LEAST`` or more, exactly.
 
-A list of more than ``LIST_LIMIT`` different fingerprints (copies of one text, edited) is linked by the fingerprints
-alone: a spanning forest of its members at most ``RADIUS`` bits apart, which is the expected distance at 0.8. The member
-nearest to the majority is a hub that connects those around it, then the next one among the others; members of two hubs
-are compared only if the hubs lie so near that the triangle inequality allows a link. Work and memory are linear in the
-list but for members that no hub reaches. Lists beyond ``CHUNK`` members are read in chunks that hand on their hubs.
+A list of more than ``LIST_LIMIT`` different fingerprints (copies of one text, edited) links by the same three conditions,
+in two passes. First a spanning forest of its members at most ``RADIUS`` bits apart (the expected distance at 0.8) proposes
+links, which are verified like all others: the member nearest to the majority is a hub that connects those around it, then
+the next one among the others. Then the pairs of members that still do not hang together are all taken, as in a short
+list. A pair inside one class needs no check, so the classes are those of all pairs, whatever the length of a list; the
+work is linear in the list but for members that no verified link reaches. The first pass reads lists beyond ``CHUNK``
+members in chunks that hand on their hubs, the second holds a list's fingerprints (80 bytes a member).
 
 Not all pairs meet: see the README for the measured recall. Nulls: a null text is empty; texts without words are alike.
 Texts of fewer than five words are one shingle. A bit that exactly half of the shingles set is 0, so there are no ties.
@@ -193,7 +195,7 @@ def forest(sigs: np.ndarray, radius: int = RADIUS) -> tuple[list[tuple[int, int]
 
 
 def scan_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links inside the long lists (key, fp, sig), which come in key order."""
+    """Likely links inside the long lists (key, fp, sig), which come in key order."""
     key, fps, sigs = None, [], []
 
     def close(keep):
@@ -215,13 +217,55 @@ def scan_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield close(False)
 
 
+def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows of 64-bit words pass the count filter and the distance."""
+    shared = (x.view(np.uint8) == y.view(np.uint8)).sum(axis=1)
+    return (shared >= MIN_SHARED) & (distances(x, y) <= LOOSE)
+
+
+def scan_apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All near pairs of different roots inside the long lists (key, fp, sig, root), which come in key order."""
+    key, fps, sigs, roots = None, [], [], []
+
+    def close():
+        fp, root = np.array(fps, np.int64), np.array(roots, np.int64)
+        sig = np.frombuffer(b"".join(sigs), np.uint64).reshape(len(fp), -1)
+        names, which, size = np.unique(root, return_inverse=True, return_counts=True)
+        # The members of the largest class come last, and are compared with the others only.
+        order = np.argsort(which == np.argmax(size), kind="stable")
+        fp, root, sig = fp[order], root[order], sig[order]
+        a, b, n = [], [], 0
+        for i in range(len(fp) - int(size.max())):
+            other = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+            other = other[np.bitwise_count((fp[other] ^ fp[i]).view(np.uint64)) <= ROUGH]
+            other = other[near(sig[other], np.broadcast_to(sig[i], (len(other), sig.shape[1])).copy())]
+            a.append(np.minimum(fp[other], fp[i]))
+            b.append(np.maximum(fp[other], fp[i]))
+            n += len(other)
+            if n > CHUNK:
+                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+                a, b, n = [], [], 0
+        if n:
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    for batch in batches:
+        for k, f, s, r in zip(batch["key"], batch["fp"], batch["sig"], batch["root"]):
+            if k != key:
+                if fps:
+                    yield from close()
+                key, fps, sigs, roots = k, [], [], []
+            fps.append(f)
+            sigs.append(s)
+            roots.append(r)
+    if fps:
+        yield from close()
+
+
 @F.pandas_udf(BooleanType())
 def close_enough(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype=bool)
-    x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (a, b))
-    shared = (x.view(np.uint8) == y.view(np.uint8)).sum(axis=1)
-    return pd.Series((shared >= MIN_SHARED) & (distances(x, y) <= LOOSE))
+    return pd.Series(near(*(np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (a, b))))
 
 
 @F.pandas_udf(DoubleType())
@@ -252,22 +296,28 @@ def classes(docs: DataFrame, id_col: str, text_col: str, least: float = LEAST) -
     postings = sets.select("fp", "sig").mapInPandas(post, "key int, fp long").repartition("key").sortWithinPartitions("key", "fp")
     lists = scratch.stage(postings.mapInPandas(scan, "key int, a long, b long"), "lists")
     long = lists.where("b is null").select("key", F.col("a").alias("fp"))
-    hot = long.join(sets.select("fp", "sig"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    hot = scratch.stage(hot.select("key", "fp", "sig").mapInPandas(scan_long, "a long, b long"), "hot")
+    long = long.join(sets.select("fp", "sig"), "fp")
+    hot = long.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp", "sig").mapInPandas(scan_long, "a long, b long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("data"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.stage(_with(pairs, sets, "sig").where(close_enough("sig_a", "sig_b")).select("a", "b"), "pairs")
+        need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        need = sets.join(need, "fp").select("fp", F.col("one.doc_id").alias("need_id"), F.col("one.text_hash").alias("need_hash"))
+        same = F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.col("text_hash") == F.col("need_hash"))
+        texts = rows.join(scratch.broadcast_if_small(need, "need"), same).select("fp", "data").dropDuplicates(["fp"])
+        return _with(pairs, texts, "data").where(jaccard("data_a", "data_b") >= least).select("a", "b")
+
+    hot = hot.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= ROUGH)
+    hot = scratch.stage(verified(hot.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "hot")
     # A pair whose members hang together already needs no check: large groups would bring many.
     together = scratch.broadcast_if_small(connected_components(hot, "a", "b"), "together")
-    pairs = lists.where("b is not null").select("a", "b").distinct()
+    rooted = long.join(together.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = rooted.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp", "sig", "root")
+    pairs = lists.where("b is not null").select("a", "b").union(rooted.mapInPandas(scan_apart, "a long, b long")).distinct()
     for side in "ab":
         pairs = pairs.join(together.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
     apart = F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))
-    pairs = _with(pairs.where(apart).select("a", "b"), sets, "sig").where(close_enough("sig_a", "sig_b"))
-    pairs = scratch.stage(pairs.select("a", "b"), "pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    need = sets.join(need, "fp").select("fp", F.col("one.doc_id").alias("need_id"), F.col("one.text_hash").alias("need_hash"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("data"))
-    same = F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.col("text_hash") == F.col("need_hash"))
-    texts = rows.join(scratch.broadcast_if_small(need, "need"), same).select("fp", "data").dropDuplicates(["fp"])
-    links = _with(pairs, texts, "data").where(jaccard("data_a", "data_b") >= least).select("a", "b")
-    links = links.union(hot)
+    links = verified(pairs.where(apart).select("a", "b")).union(hot)
     roots = connected_components(links, "a", "b")
     return fps.select("doc_id", "text_hash", "fp"), roots.withColumnRenamed("node", "fp")

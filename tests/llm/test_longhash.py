@@ -137,3 +137,27 @@ def test_stage_joins_copies_beyond_three_bits(spark):
     got = pipeline.near_dedup(spark, df, "")
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [0, 9, 10]
     assert pipeline.near_dedup(spark, df.limit(0), "").count() == 0
+
+
+def test_the_length_of_a_list_changes_no_class(spark, monkeypatch):
+    """Texts around the least similarity, some of which the fingerprints alone would link, have the classes of all pairs."""
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(90):
+        places = set(r.sample(range(300), 2 + k % 7))
+        rows.append((k, " ".join(f"x{k}_{i}" if i in places else w for i, w in enumerate(base))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    told = []
+    for limit in (2, 8, 32, 1000):
+        monkeypatch.setattr(longhash, "LIST_LIMIT", limit)
+        fps, roots = longhash.classes(df, "doc_id", "text")
+        ids = {x.fp: x.doc_id for x in fps.collect()}
+        groups = defaultdict(set)
+        for x in roots.collect():
+            groups[x.root].add(ids[x.fp])
+        told.append(sorted(map(sorted, groups.values())))
+    assert all(x == told[-1] for x in told), [[len(g) for g in x] for x in told]
+    _, first, pairs = plain_links(rows)
+    linked = components(first.values(), pairs)
+    assert all(len({linked[i] for i in g}) == 1 for x in told for g in x)
